@@ -156,9 +156,9 @@ def spotsigs(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     pairs = written(met.groupBy("a", "b").agg(F.min("sig").alias("sig")), "pairs")
     blocks = max(1, math.ceil(pairs.count() / PAIRS_A_BLOCK))
     pairs = pairs.withColumn("k", F.pmod("sig", F.lit(blocks)))
-    need = pairs.select("k", F.explode(F.array("a", "b")).alias("node")).distinct()
+    need = pairs.select(F.col("k").alias("block"), F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = need.join(lists.select("node", "size", "sigs"), "node")
-    near = pairs.groupBy("k").cogroup(sets.groupBy("k")).applyInPandas(_compare(threshold), "a bigint, b bigint, jaccard double")
+    near = pairs.groupBy("k").cogroup(sets.groupBy("block")).applyInPandas(_compare(threshold), "a bigint, b bigint, jaccard double")
     x, y = sizes.select(F.col("node").alias("a"), F.col("least").alias("da")), sizes.select(F.col("node").alias("b"), F.col("least").alias("db"))
     similar = near.join(x, "a").join(y, "b").select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"), "jaccard")
     equal = table.select("doc_id", "node").join(sizes, "node").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))

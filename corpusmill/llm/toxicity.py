@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import sized, written
 from .wordhash import WordReader
 
-STEMS = (4, 5)
-CLIP = 3
+STEMS, CLIP = (4, 5), 3
 
 
 def text_features(column: pa.Array, reader: WordReader):
@@ -57,8 +56,15 @@ def fit_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabell
     positive = ids.join(toxic, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(1).alias("positive"))
     rest = ids.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("positive"))
     chosen = written(positive.unionByName(rest), "fit")
-    rows = docs.join(sized(chosen, max_positive + max_unlabelled), "doc_id").select("positive", F.lower("text").alias("text")).mapInArrow(_bags, "positive int, features binary, times binary")
-    return sorted({(r["positive"], bytes(r["features"]), bytes(r["times"])) for r in rows.collect()})
+    rows = docs.join(sized(chosen, max_positive + max_unlabelled), "doc_id").select("positive", F.lower("text").alias("text")).mapInArrow(_bags, "positive int, features binary, times binary").toArrow()
+    return sorted(set(zip(*(rows[c].to_pylist() for c in ("positive", "features", "times")))))
+
+
+def lookup(names: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted names, which of feats they are) of the feats that names has."""
+    k = np.minimum(np.searchsorted(names, feats), max(0, len(names) - 1))
+    hit = names[k] == feats
+    return k[hit], hit
 
 
 def train(rows: list, prior: float, least_z: float = 4.0, least_docs: int = 4, most_features: int = 20_000, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
@@ -68,22 +74,28 @@ def train(rows: list, prior: float, least_z: float = 4.0, least_docs: int = 4, m
     if not kinds.any() or kinds.all():
         return none
     n1, n0 = kinds.sum(), (~kinds).sum()
-    feats = [np.frombuffer(f, np.uint64) for _, f, _ in rows]
-    row = np.repeat(np.arange(len(rows)), [len(f) for f in feats])
-    names, col = np.unique(np.concatenate(feats), return_inverse=True)
-    val = np.concatenate([np.frombuffer(t, np.int8) for _, _, t in rows]).astype(float)
-    pos = np.bincount(col[kinds[row]], minlength=len(names))
-    neg = np.bincount(col[~kinds[row]], minlength=len(names))
+
+    # exact counts, row by row: the driver never holds the unlabelled rows' cells as arrays
+    names, pos = np.unique(np.concatenate([np.frombuffer(f, np.uint64) for p, f, _ in rows if p]), return_counts=True)
+    names, pos = names[pos >= least_docs], pos[pos >= least_docs]
+    if not len(names):
+        return none
+    neg = np.zeros(len(names), np.int64)
+    for p, f, _ in rows:
+        if not p:
+            neg[lookup(names, np.frombuffer(f, np.uint64))[0]] += 1
     share = (pos + neg) / (n0 + n1)
     z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
-    good = np.flatnonzero((z >= least_z) & (pos >= least_docs))
+    good = np.flatnonzero(z >= least_z)
     good = np.sort(good[np.argsort(-z[good], kind="stable")][:most_features])
     if not len(good):
         return none
-    place = np.full(len(names), -1)
-    place[good] = np.arange(len(good))
-    cell = place[col] >= 0
-    row, col, val, at = row[cell], place[col[cell]], val[cell], names[good]
+    at = names[good]
+    cells = []
+    for i, (_, f, t) in enumerate(rows):
+        k, hit = lookup(at, np.frombuffer(f, np.uint64))
+        cells.append((np.full(len(k), i), k, np.frombuffer(t, np.int8)[hit].astype(float)))
+    row, col, val = (np.concatenate([c[j] for c in cells]) for j in range(3))
     w, b = np.zeros(len(at)), -1.0
     m, v = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
     for step in range(1, steps + 1):
@@ -120,9 +132,8 @@ def _score(names: np.ndarray, weights: np.ndarray, bias: float):
             out = np.full(len(t), bias)
             if len(names):
                 for rows, feats, times in text_features(t, reader):
-                    k = np.minimum(np.searchsorted(names, feats), len(names) - 1)
-                    hit = names[k] == feats
-                    out += np.bincount(rows[hit], weights[k[hit]] * times[hit], len(t))
+                    k, hit = lookup(names, feats)
+                    out += np.bincount(rows[hit], weights[k] * times[hit], len(t))
             yield pa.array(out)
 
     return run
