@@ -100,7 +100,8 @@ def license_scan(docs: DataFrame, *, templates: dict[str, str] | None = None, le
     t = spark.createDataFrame([(k, w, len(w), shift_of(len(w))) for k, w in of.items()], "template string, w array<string>, n int, shift int")
     places = t.select("template", F.posexplode(F.expr(window_hashes("w"))).alias("tpos", "h"))
     doc = docs.select("doc_id", F.xxhash64("text").alias("t"), jvm_words(F.col("text")).alias("w"))
-    grams = doc.select("doc_id", "t", F.posexplode(F.expr(window_hashes("w"))).alias("pos", "h"))
+    # outer: else a filter on the size of the array is inferred and pushed to the scan, where w is computed again for each window; the join drops nulls
+    grams = doc.select("doc_id", "t", F.posexplode_outer(F.expr(window_hashes("w"))).alias("pos", "h"))
     # the templates' size is fixed: it doesn't grow with the documents
     hits = grams.join(F.broadcast(places), "h").select("doc_id", "t", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
     votes = hits.groupBy("doc_id", "t", "template", "diagonal").agg(F.count_distinct("tpos").alias("votes"))
