@@ -19,7 +19,8 @@ def pack(docs: DataFrame, max_power: int = 13) -> DataFrame:
     out = docs.select("doc_id", "source", tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
     pieces = F.concat(whole, bits)
     cut = F.transform(pieces, lambda p: F.struct(p["start"].alias("start"), p["bucket"].alias("bucket"), F.array_join(F.slice("t", p["start"].cast("int") + 1, F.call_function("shiftleft", F.lit(1), p["bucket"])), " ").alias("text")))
-    return out.select("doc_id", "source", F.explode(cut).alias("p")).select("doc_id", "source", "p.start", F.expr("cast(shiftleft(1, p.bucket) AS bigint)").alias("length"), "p.bucket", "p.text")
+    # outer: else a filter on the array's size is inferred and pushed to the scan, where tokens are made anew for each piece
+    return out.select("doc_id", "source", F.explode_outer(cut).alias("p")).where("p IS NOT NULL").select("doc_id", "source", "p.start", F.expr("cast(shiftleft(1, p.bucket) AS bigint)").alias("length"), "p.bucket", "p.text")
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
