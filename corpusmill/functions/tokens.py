@@ -23,21 +23,30 @@ def characters(text: Column) -> Column:
 TOKENIZERS = {"words": words, "blanks": blanks, "characters": characters}
 
 
+def barrier(x: Column) -> Column:
+    """x, evaluated once where it stands: the optimizer takes it for random, so it neither copies it into later lambdas and filters nor pushes those below it."""
+    return F.when(F.rand(0) < 0.5, x).otherwise(x)
+
+
 def tokenized(docs: DataFrame, how: str = "words", text: str = "text", out: str = "tokens") -> DataFrame:
-    """docs with an array of tokens; null text has none."""
-    return docs.withColumn(out, F.coalesce(TOKENIZERS[how](F.col(text)), F.array().cast("array<string>")))
+    """docs with an array of tokens; null text has none. Filter docs before: filters after this aren't pushed to the scan."""
+    return docs.withColumn(out, barrier(F.coalesce(TOKENIZERS[how](F.col(text)), F.array().cast("array<string>"))))
 
 
 def truncated(tokens: Column, longest: int | None) -> Column:
     return tokens if longest is None else F.slice(tokens, 1, longest)
 
 
+def _joined(tokens: Column, n: int):
+    return lambda i: F.array_join(F.slice(tokens, i, n), " ")
+
+
 def ngrams(tokens: Column, low: int = 1, high: int | None = None) -> Column:
     """All n-grams of low..high tokens, joined by a blank: all of one n before the next."""
     out = []
     for n in range(low, (high or low) + 1):
         at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        out.append(tokens if n == 1 else F.transform(at, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+        out.append(tokens if n == 1 else F.transform(at, _joined(tokens, n)))
     return F.concat(*out)
 
 

@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenized(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "tokens")
+def docs(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return tokenized(table(spark, sf_dir, "documents").where(where)).select("doc_id", "lang", "source", "tokens")
 
 
 def split_by_quality(s: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ def q_sentences(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.posexplode(segment.sentences(F.col("text"))).alias("k", "sentence"))
 
 
-SQL_SENTENCES = r"""WITH p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?…]*[。！？.!?…]+|[^。！？.!?…]+'), x -> trim(x)), x -> x <> '') AS s FROM conversations)
+SQL_SENTENCES = r"""WITH p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?…]*[。！？.!?…]+|[^。！？.!?…]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM conversations)
 SELECT conv_id, turn, CAST(unnest(range(len(s))) AS INTEGER) AS k, unnest(s) AS sentence FROM p"""
 
 
@@ -174,8 +174,7 @@ def q_find_collocates(s, d):
 
 
 def q_compare_collocates(s, d):
-    x = docs(s, d)
-    return rounded(collocation.compare_collocates(x.where("lang = 'en'"), x.where("lang <> 'en'"), ["the", "de"], filters={"min_obs_local": 5}, horizon=2, max_length=None).drop("p_value_a", "p_value_b"))
+    return rounded(collocation.compare_collocates(docs(s, d, "lang = 'en'"), docs(s, d, "lang <> 'en'"), ["the", "de"], filters={"min_obs_local": 5}, horizon=2, max_length=None).drop("p_value_a", "p_value_b"))
 
 
 def kwic_query(sort, max_results=None):
@@ -384,8 +383,8 @@ def q_vector_distances(s, d):
     return rounded(x.crossJoin(y).select("a", "b", *[f(F.col("x"), F.col("y")).alias(k) for k, f in DISTANCES.items()]), 5)
 
 
-DISTANCES_SQL = """SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(x, y), 5) AS cosine, round(list_sum(list_transform(list_zip(x, y), p -> abs(p[1] - p[2]))) / 64, 5) AS burrows_delta,
- round(list_sum(list_transform(list_zip(x, y), p -> abs(p[1] - p[2]))), 5) AS manhattan, round(list_distance(x, y), 5) AS euclidean, round(sqrt(pow(list_distance(x, y), 2) / 64), 5) AS eder_delta
+DISTANCES_SQL = """SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(x, y), 5) AS cosine, round(list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))) / 64, 5) AS burrows_delta,
+ round(list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))), 5) AS manhattan, round(list_distance(x, y), 5) AS euclidean, round(sqrt(pow(list_distance(x, y), 2) / 64), 5) AS eder_delta
 FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE label = 1) a, (SELECT vec_id, embedding::DOUBLE[] AS y FROM embeddings WHERE label = 2) b"""
 
 
@@ -396,7 +395,7 @@ def q_bias(s, d):
 
 
 BIAS_SQL = """WITH p AS (SELECT arg_min(embedding, vec_id) FILTER (label = 3)::DOUBLE[] AS p, arg_min(embedding, vec_id) FILTER (label = 4)::DOUBLE[] AS n FROM embeddings),
-g AS (SELECT list_transform(list_zip(p, n), z -> z[1] - z[2]) AS g FROM p), u AS (SELECT list_transform(g, x -> x / sqrt(list_inner_product(g, g))) AS u FROM g)
+g AS (SELECT list_transform(list_zip(p, n), lambda z: z[1] - z[2]) AS g FROM p), u AS (SELECT list_transform(g, lambda x: x / sqrt(list_inner_product(g, g))) AS u FROM g)
 SELECT vec_id AS word, round(list_inner_product(embedding::DOUBLE[], u), 5) AS bias FROM embeddings, u"""
 
 
