@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.tokens import ngrams
+from ..plans.shared import written
 
 METRICS = ("cosine", "burrows_delta", "manhattan", "euclidean", "eder_delta")
 
@@ -178,8 +179,9 @@ class Stylometry:
         from pyspark.ml.functions import array_to_vector
 
         wide = lambda v, keys: v.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda s: s["value"]).alias("a")).withColumn("features", array_to_vector("a"))
-        index = StringIndexer(inputCol="author", outputCol="label").fit(self._ready().vectors)
-        model = OneVsRest(classifier=LinearSVC(maxIter=50)).fit(index.transform(wide(self._ready().vectors, ["doc_id", "author"])))
+        rows = written(self._ready().vectors, "vectors")  # read in every iteration
+        index = StringIndexer(inputCol="author", outputCol="label").fit(rows)
+        model = OneVsRest(classifier=LinearSVC(maxIter=20)).fit(index.transform(wide(rows, ["doc_id", "author"])).select("label", "features").coalesce(4).persist())
         return IndexToString(inputCol="prediction", outputCol="author", labels=index.labels).transform(model.transform(wide(self.transform(docs), ["doc_id"]))).select("doc_id", "author")
 
     def hierarchical_clustering(self, method: str = "average", level: str = "author", max_items: int = 5000) -> tuple[np.ndarray, list]:
