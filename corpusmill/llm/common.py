@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.shared import remove, shared_dir, written
+
+__all__ = ["BLANK", "BROADCAST_ROWS", "docs_of", "remove", "shared_dir", "sized", "tokens", "written"]
+
 BLANK = "[ \\t\\n\\r\\f]+"
 #: A table of at most this many rows (of a few numbers each) may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset (tests on one machine), a new one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, lineage cut, and safe when executors go."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def remove(df: DataFrame) -> None:
-    """Deletes what written() wrote, when nothing needs it any more."""
-    path = getattr(df, "written_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of narrow rows, with a broadcast hint only if it is small; otherwise the join shuffles."""
     return F.broadcast(df) if df.count() <= most else df
