@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.tokens import blanks
@@ -13,19 +14,27 @@ def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return out.limit(limit) if limit is not None else out
 
 
+def detect_encoding(content: bytes, sample: int = 10_000) -> str:
+    """utf-8 if the first bytes are (a character cut at the sample's end aside), else gb18030."""
+    try:
+        content[:sample].decode("utf-8")
+    except UnicodeDecodeError as e:
+        if e.start < min(len(content), sample) - 4 or len(content) <= sample:
+            return "gb18030"
+    return "utf-8"
+
+
 def read_texts(spark: SparkSession, path: str | list[str], encoding: str = "auto") -> DataFrame:
-    """(path, text) of whole files. auto: UTF-8 where the bytes are valid, else GB18030."""
-    files = spark.read.format("binaryFile").load(path)
-    if encoding == "auto":
-        text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "GB18030")) if _has_gb(spark) else F.make_valid_utf8(F.col("content").cast("string"))
-    else:
-        text = F.decode("content", encoding)
-    return files.select("path", text.alias("text"))
+    """(path, text) of whole files; bytes that the encoding doesn't know become replacement marks. Spark's decode() has no GB charsets: an Arrow UDF."""
 
+    @F.arrow_udf("string")
+    def decoded(content: pa.Array) -> pa.Array:
+        out = []
+        for b in content.to_pylist():
+            out.append(None if b is None else b.decode(detect_encoding(b) if encoding == "auto" else encoding, "replace"))
+        return pa.array(out, pa.string())
 
-def _has_gb(spark: SparkSession) -> bool:
-    """Whether this session's decode() takes charsets beyond the standard ones."""
-    return spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
+    return spark.read.format("binaryFile").load(path).select("path", decoded("content").alias("text"))
 
 
 def read_stopwords(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -33,6 +42,23 @@ def read_stopwords(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).select(F.trim("value").alias("word")).where("word <> ''").distinct()
 
 
+def stopwords_of(folder: str, name: str) -> list[str]:
+    """Files of a folder of word lists that a name stands for: the list of that name, else all whose names begin with it and an underscore."""
+    from pathlib import Path
+
+    have = stopword_lists(folder)
+    found = [name] if name in have else [x for x in have if x.startswith(f"{name}_")]
+    if not found:
+        raise ValueError(f"no stopword list {name!r}: {have}")
+    return [str(Path(folder) / f"{x}.txt") for x in found]
+
+
+def stopword_lists(folder: str) -> list[str]:
+    from pathlib import Path
+
+    return sorted(p.stem for p in Path(folder).glob("*.txt"))
+
+
 def write_vectors(vectors: DataFrame, path: str, form: str = "glove") -> None:
     """(word, vec) as text, a word and its numbers per line; word2vec files begin with a line of counts and are written by one task."""
     line = vectors.select("word", F.concat_ws(" ", "word", F.transform("vec", lambda x: x.cast("string"))).alias("value"))

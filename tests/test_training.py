@@ -79,3 +79,18 @@ def test_sources_and_streaming(spark, tmp_path):
     q = streaming_word_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r["token"]: r["n"] for r in spark.table("counts").collect()} == {"the": 2, "cat": 1, "dog": 1}
+
+
+def test_encodings_and_stopwords(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_bytes("中文文本".encode("utf-8"))
+    (tmp_path / "t" / "b.txt").write_bytes("中文文本".encode("gb18030"))
+    assert {r["text"] for r in texts.read_texts(spark, str(tmp_path / "t")).collect()} == {"中文文本"}
+    assert texts.detect_encoding(("x" + "中" * 4000).encode("utf-8")) == "utf-8"
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "zh_a.txt").write_text("的\n 了 \n\n")
+    (tmp_path / "s" / "zh_b.txt").write_text("的\n也\n")
+    paths = texts.stopwords_of(str(tmp_path / "s"), "zh")
+    assert {r["word"] for r in texts.read_stopwords(spark, paths).collect()} == {"的", "了", "也"}
+    with pytest.raises(ValueError):
+        texts.stopwords_of(str(tmp_path / "s"), "xx")
