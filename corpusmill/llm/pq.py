@@ -1,7 +1,8 @@
 """Embedding near-dedup by product quantisation (Jegou, Douze and Schmid 2011): coarse inverted lists, residual codes, exact rerank.
 
-Every vector is a member of its nearest list and a query of all lists that could hold a partner. Two near vectors lie on either side of
-the plane between two centroids only if each is close to it, so a query visits the lists whose plane with its own is within margin. In a
+Every vector is a member of its nearest list and a query of all lists that could hold a partner. Two vectors in different lists lie on either side of
+the plane between their centroids, and their distances to it add up to no more than their own: one of the two is within half the greatest distance of partners.
+A query visits the lists whose plane with its own is that near, so no pair is lost. In a
 list, distances come from tables of the query's residual (asymmetric); as each member's quantisation error is known, no true
 partner is lost there by the triangle inequality. What passes is compared exactly.
 """
@@ -111,7 +112,7 @@ def near_embeddings(vectors: DataFrame, *, threshold: float = 0.95, parts: int =
     """(id_a, id_b, cosine), id_a < id_b, of all vectors whose cosine is at least threshold; cosine is rounded to 6 decimals.
 
     Every vector is a query. margin: how far the plane between a query's own and another centroid may be for that list to be visited; None is half the greatest distance
-    of partners, which a partner in a random direction stays within; the whole distance makes the search exact. Lists grow in number with the square
+    of partners, with which no pair is lost; less is faster. Lists grow in number with the square
     root of the vectors, at most 4096. Fitted on at most max_train vectors, the first in the order of a seeded hash. Vectors that are null, empty, zero,
     not finite or of another length than most, and null ids, are in no pair. Rows that share an id are one point with several vectors: no pair of it with itself. Other columns are ignored.
     """
