@@ -9,9 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.tokens import ngrams
+from ..functions.vectors import DISTANCES
 from ..plans.shared import written
 
-METRICS = ("cosine", "burrows_delta", "manhattan", "euclidean", "eder_delta")
+METRICS = tuple(sorted(DISTANCES))
 
 
 def feature_counts(docs: DataFrame, keys: list[str], ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
