@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where that is unset (tests on one machine), a new folder, which it is then set to."""
+    """spark.checkpoint.dir of the session. Where that is unset (tests on one machine), a new folder, which it is then set to and which goes with the process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
