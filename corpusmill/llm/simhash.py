@@ -1,12 +1,8 @@
-"""SimHash near-dedup by covering locality-sensitive hashing.
+"""SimHash near-dedup by all pairs of codes.
 
-A document's code has four words of 64 bits. Each word has 2**(r+1)-1 bit masks made from a map of bits to
-vectors of r+1 bits: mask v has the bits whose vector has an odd product with v. Up to r bits that differ span at
-most r dimensions, so some v is orthogonal to all of them and that mask hides every difference: two codes within r in a word
-collide in a table, without exception. Masks keep some 33 bits of 64, so unrelated codes hardly meet.
-
-Tables travel as packed pairs of key and node. A first pass finds the nodes that meet any other; only these
-travel again, with their codes, to be compared. Within a bucket all pairs are compared and a spanning forest leaves it.
+A document's code has four words of 64 bits; documents whose codes are within TOTAL of 256 bits are near-duplicates. No table of masked words that
+is small enough to travel covers that distance, so the distinct codes are put in blocks and every two blocks are compared, as numbers of 64 bits.
+The work grows with the square of the distinct codes; what travels is each code once a block. Of a pair of blocks a spanning forest is left.
 """
 
 from __future__ import annotations
@@ -22,8 +18,11 @@ from .common import sized, written
 from .components import components
 from .wordhash import WordReader, mix
 
-WORDS, RADIUS, TOTAL = 4, 4, 40
-GROUP_ENTRIES = 1_500_000
+WORDS, TOTAL = 4, 40
+#: Of codes within TOTAL some word is within this.
+RADIUS = TOTAL // WORDS
+BLOCK, MOST_PARTS = 100_000, 2000
+ROWS, COLUMNS, PAIRS_HELD = 32, 4096, 2_000_000
 PAIR_BLOCK = 1 << 15
 CODE = [f"c{i}" for i in range(WORDS)]
 
@@ -67,62 +66,39 @@ def _codes(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *(pa.array(codes[:, k].copy()) for k in range(WORDS))], names=["doc_id", *CODE])
 
 
-def masks(radius: int = RADIUS, bits: int = 64) -> np.ndarray:
-    """The covering masks. Bits get the nonzero vectors in turn, in a fixed order that mixes them."""
+def masks(radius: int, bits: int = 64) -> np.ndarray:
+    """Covering masks of one word: two words within radius are equal under some mask, without exception. Their number is 2 ** (radius + 1) - 1, too many
+    for the radius that duplicates() accepts, which doesn't use them. Bits get the nonzero vectors in turn, in a fixed order that mixes them."""
     n = (1 << (radius + 1)) - 1
     vectors = 1 + (np.random.default_rng(5).permutation(bits) % n)
     return np.array([sum(1 << i for i in range(bits) if bin(int(vectors[i]) & v).count("1") % 2) for v in range(1, n + 1)], np.uint64)
 
 
-def keys(codes: np.ndarray, masks_: np.ndarray) -> np.ndarray:
-    """(tables, rows) uint64: mixed bits of each masked word; the table's number is in the mix."""
-    out = np.empty((WORDS * len(masks_), len(codes)), np.uint64)
-    u = codes.view(np.uint64)
-    for w in range(WORDS):
-        for v, m in enumerate(masks_):
-            t = w * len(masks_) + v
-            x = (u[:, w] & m) + np.uint64(0x9E3779B97F4A7C15 * (t + 1) & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            out[t] = x ^ (x >> np.uint64(31))
-    return out
+def paired(i: int, j: int, blocks: int) -> int:
+    """The number of a pair of blocks, in either order."""
+    return min(i, j) * blocks + max(i, j)
+
 
+def _pack(blocks: int):
+    """Each block's nodes and codes, packed, once for every pair of blocks that it is in."""
 
-def _pack(groups: int, radius: int, with_codes: bool):
     def run(batches):
-        m = masks(radius)
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
             if not len(node):
                 continue
             codes = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False) for k in range(WORDS)], axis=1)
-            for lo in range(0, len(node), 5000):
-                part = slice(lo, lo + 5000)
-                key = keys(np.ascontiguousarray(codes[part]), m)
-                row = np.tile(np.arange(key.shape[1]), key.shape[0])
-                key = key.ravel()
-                g = ((key >> np.uint64(40)) % np.uint64(groups)).astype(np.int32)
-                order = np.argsort(g, kind="stable")
-                cuts = np.searchsorted(g[order], np.arange(groups + 1))
-                used = np.flatnonzero(cuts[1:] > cuts[:-1])
-                key, row = key[order], row[order]
-                cols = [pa.array([key[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()), pa.array([node[part][row[cuts[i] : cuts[i + 1]]].tobytes() for i in used], pa.binary())]
-                cols.append(pa.array([codes[part][row[cuts[i] : cuts[i + 1]]].tobytes() if with_codes else b"" for i in used], pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *cols], names=["g", "key", "node", "code"])
+            block = (node.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+            for i in np.unique(block).tolist():
+                at = block == i
+                g = [paired(i, j, blocks) for j in range(blocks)]
+                cols = [pa.array([x] * blocks) for x in (i, node[at].tobytes(), codes[at].tobytes())]
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *cols], names=["g", "block", "node", "code"])
 
     return run
 
 
-PACKED = "g int, key binary, node binary, code binary"
-
-
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    key = np.frombuffer(b"".join(pdf["key"]), np.uint64)
-    node = np.frombuffer(b"".join(pdf["node"]), np.int64)
-    order = np.argsort(key)
-    key, node = key[order], node[order]
-    same = key[1:] == key[:-1]
-    return pd.DataFrame({"node": np.unique(node[np.r_[same, False] | np.r_[False, same]])})
+PACKED = "g bigint, block bigint, node binary, code binary"
 
 
 def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -139,32 +115,51 @@ def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def close(x: np.ndarray, y: np.ndarray, radius: int, total: int) -> np.ndarray:
+    """Whole codes within total, and a word within radius; total // WORDS is no condition of its own."""
     d = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64))
     return (d.min(axis=1) <= radius) & (d.sum(axis=1) <= total)
 
 
-def _verify(radius: int, total: int):
+def near_pairs(x: np.ndarray, y: np.ndarray, total: int):
+    """Places (in x, in y) of all pairs of codes within total, in parts. All but one of the words are compared for every pair, the whole code where they leave room."""
+    left, right = x.view(np.uint64), y.view(np.uint64)
+    columns = [np.ascontiguousarray(right[:, k]) for k in range(WORDS - 1)]
+    for at in range(0, len(right), COLUMNS):
+        part = [c[None, at : at + COLUMNS] for c in columns]
+        for lo in range(0, len(left), ROWS):
+            d = np.zeros((len(left[lo : lo + ROWS]), part[0].shape[1]), np.uint8)
+            for k, c in enumerate(part):
+                d += np.bitwise_count(left[lo : lo + ROWS, k, None] ^ c)
+            i, j = np.divmod(np.flatnonzero(d <= total), d.shape[1])
+            if len(i):
+                i, j = i + lo, j + at
+                ok = close(x[i], y[j], total // WORDS, total)
+                yield i[ok], j[ok]
+
+
+def _verify(total: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = np.frombuffer(b"".join(pdf["key"]), np.uint64)
-        node = np.frombuffer(b"".join(pdf["node"]), np.int64)
-        code = np.frombuffer(b"".join(pdf["code"]), np.int64).reshape(-1, WORDS)
-        order = np.argsort(key)
-        key, node, code = key[order], node[order], code[order]
-        names, at = np.unique(node, return_inverse=True)
-        left, right = [], []
-        i, d = np.arange(max(0, len(key) - 1)), 1
-        while len(i):
-            i = i[i + d < len(key)]
-            i = i[key[i] == key[i + d]]
-            for lo in range(0, len(i), 200_000):
-                j = i[lo : lo + 200_000]
-                j = j[close(code[j], code[j + d], radius, total)]
-                pairs = np.unique(np.minimum(at[j], at[j + d]) * len(names) + np.maximum(at[j], at[j + d]))
-                left.append(pairs // len(names))
-                right.append(pairs % len(names))
-            d += 1
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        label = least_labels(a, b, len(names))
+        """A spanning forest of the near pairs between two blocks, or within one."""
+        sides = []
+        for _, part in pdf.groupby("block"):
+            sides.append((np.frombuffer(b"".join(part["node"]), np.int64), np.frombuffer(b"".join(part["code"]), np.int64).reshape(-1, WORDS)))
+        (n, x), (m, y) = sides[0], sides[-1]
+        names = np.r_[n, m] if len(sides) > 1 else n
+        shift = len(n) if len(sides) > 1 else 0
+        label = own = np.arange(len(names))
+        a, b, held = [own], [label], 0
+
+        def joined() -> np.ndarray:
+            return least_labels(np.concatenate(a), np.concatenate(b), len(names))
+
+        for i, j in near_pairs(x, y, total):
+            a.append(i)
+            b.append(j + shift)
+            held += len(i)
+            if held > PAIRS_HELD:
+                label = joined()
+                a, b, held = [own], [label], 0
+        label = joined()
         moved = np.flatnonzero(label != np.arange(len(names)))
         return pd.DataFrame({"u": names[moved], "v": names[label[moved]]})
 
@@ -177,24 +172,20 @@ def code_table(docs: DataFrame) -> DataFrame:
     return written(codes.withColumn("node", F.xxhash64(*CODE)), "codes")
 
 
-def duplicates(docs: DataFrame, radius: int = RADIUS, total: int = TOTAL) -> DataFrame:
+def duplicates(docs: DataFrame, total: int = TOTAL) -> DataFrame:
     """(doc_id, duplicate_of) of every document that a group's first document, the one with the smallest id, stands for.
 
-    Two documents are near-duplicates if a word of their codes differs in at most radius bits and the whole codes in at most total; groups
-    are connected components, found exactly. All pairs within 4 * (radius + 1) - 1 of 256 bits satisfy the first condition.
-    Equal codes are one node. Null ids and texts without words are never duplicates. Rows that share an id are one document:
+    Two documents are near-duplicates if their codes differ in at most total of 256 bits; all pairs are compared, and groups
+    are connected components, found exactly. Equal codes are one node. Null ids and texts without words are never duplicates. Rows that share an id are one document:
     they don't make each other a duplicate, and either's code counts for it. Other columns aren't read.
     """
     table = code_table(docs)
     nodes = table.groupBy("node").agg(*(F.first(c).alias(c) for c in CODE))
     nodes = written(nodes, "nodes")
-    entries = WORDS * ((1 << (radius + 1)) - 1)
-    groups = max(1, math.ceil(nodes.count() * entries / GROUP_ENTRIES))
-    met = nodes.mapInArrow(_pack(groups, radius, False), PACKED).groupBy("g").applyInPandas(_meet, "node bigint")
-    met = written(met.distinct(), "met")
-    again = max(1, math.ceil(met.count() * entries * 3 / GROUP_ENTRIES))
-    few = nodes.join(met, "node", "left_semi").select("node", *CODE)
-    edges = few.mapInArrow(_pack(again, radius, True), PACKED).groupBy("g").applyInPandas(_verify(radius, total), "u bigint, v bigint")
+    n = nodes.count()
+    blocks = max(1, math.ceil(n / BLOCK), min(12, n // 1000))
+    packed = nodes.mapInArrow(_pack(blocks), PACKED).repartition(min(MOST_PARTS, blocks * (blocks + 1) // 2), "g")
+    edges = packed.groupBy("g").applyInPandas(_verify(total), "u bigint, v bigint")
     found = components(edges)
     # documents that share an id link their nodes
     twice = table.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")

@@ -64,6 +64,22 @@ def test_simhash_equals_all_pairs(docs):
     assert all(b < a for a, b in got)
 
 
+def test_simhash_pairs_are_all_within_the_whole_code(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, (60, 256), dtype=np.uint8)
+    flipped = bits.copy()
+    for k in range(60):  # 10 of each word at most 40 bits, or one word more
+        for w in range(4):
+            flipped[k, w * 64 + rng.choice(64, 10 + (k % 3 == 0 and w == 3), replace=False)] ^= 1
+    codes = np.packbits(np.r_[bits, flipped], axis=1).view(np.int64)
+    table = spark.createDataFrame([(i, i + 1, *map(int, c)) for i, c in enumerate(codes)], "doc_id bigint, node bigint, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
+    monkeypatch.setattr(simhash, "code_table", lambda docs: table)
+    want = sorted((60 + k, k) for k in range(60) if k % 3)
+    for block in (1000, 25):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert sorted(map(tuple, simhash.duplicates(None).collect())) == want
+
+
 def test_simhash_odd_rows_and_one_of_each_group_stays(docs):
     r = random.Random(7)
     long = " ".join(prose(r, 60_000))
