@@ -112,6 +112,19 @@ def test_license_scan_finds_exact_and_edited_spans(docs):
     assert license_scan.license_scan(docs([])).count() == 0
 
 
+def test_license_scan_finds_whole_texts_parts_and_short_notices(docs):
+    bsd, unlicense = (TEMPLATES[k] for k in ("BSD-2-Clause/full", "Unlicense/full"))
+    apache = TEMPLATES["Apache-2.0/full"]
+    rows = [(1, "Licensed under CC BY-NC 4.0."), (2, "Licensed under CC BY-NC-ND 3.0"), (3, bsd), (4, bsd[bsd.index("THIS SOFTWARE IS PROVIDED BY") :]), (5, unlicense), (6, apache), (7, "SPDX-License-Identifier: MIT"), (8, TEMPLATES["GPL-2.0-or-later/grant"])]
+    got = {r["doc_id"]: [] for r in docs(rows).collect()}
+    for r in license_scan.license_scan(docs(rows)).collect():
+        got[r["doc_id"]].append((r["license"], r["start"], r["n_words"], r["similarity"]))
+    n = [len(license_scan.words(t)) for _, t in rows]
+    ids = ["CC-BY-NC-4.0", "CC-BY-NC-ND-3.0", "BSD-2-Clause", "BSD-2-Clause", "Unlicense", "Apache-2.0", "MIT", "GPL-2.0-or-later"]
+    assert got == {k + 1: [(x, 0, n[k], 1.0)] for k, x in enumerate(ids)}
+    assert "disclaimed" in license_scan.words(bsd) and len(license_scan.words(apache)) > 1500
+
+
 def test_license_alignment_equals_dynamic_programming():
     r = random.Random(5)
     for _ in range(60):
