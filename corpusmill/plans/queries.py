@@ -265,7 +265,12 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN
 
 
 def q_relative_frequencies(s, d):
-    return rounded(lexical.relative_frequencies(docs(s, d), "lang").where("n >= 20"), 8)
+    return rounded(lexical.relative_frequencies(docs(s, d), "lang"), 8)
+
+
+def q_relative_frequencies_frequent(s, d):
+    """The rows that the SQL has: words of 20 occurrences in their language."""
+    return q_relative_frequencies(s, d).where("n >= 20")
 
 
 RELATIVE_SQL = f"{ONE} SELECT * FROM (SELECT lang, token, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY lang) AS DOUBLE), 8) AS rel_freq FROM t GROUP BY lang, token) WHERE n >= 20"
@@ -517,7 +522,8 @@ QUERIES = {
     "yule_k": (q_vocabulary_stats, STATS_SQL),
     "mattr_50": (q_mattr, None),
     "rolling_avg": (q_rolling_average, ROLLING_SQL),
-    "relative_frequencies": (q_relative_frequencies, RELATIVE_SQL),
+    "relative_frequencies": (q_relative_frequencies, None),
+    "relative_frequencies_frequent": (q_relative_frequencies_frequent, RELATIVE_SQL),
     "stylo_zscore": (q_style_features, STYLE + " SELECT doc_id, author, feature, round(value, 6) + 0.0 AS value FROM z"),
     "stylo_tfidf": (q_style_tfidf, STYLE + " SELECT doc_id, author, feature, round(rel * idf, 6) + 0.0 AS value FROM rel JOIN st USING (feature)"),
     **{f"stylo_distance_{m}": (style_distance(m), STYLE + f" SELECT x.author AS a, y.author AS b, round({DIST_SQL[m]}, 6) AS distance FROM cen x JOIN cen y ON x.feature = y.feature AND x.author <> y.author GROUP BY x.author, y.author") for m in METRICS},
