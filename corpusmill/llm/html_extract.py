@@ -19,8 +19,10 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "details", "
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 PARAGRAPH = {"p", "pre", "td", "blockquote"}
-START = {"div": 5, "article": 5, "section": 3, "main": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ul": -3, "ol": -3, "dl": -3, "address": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5}
-OUT = {"nav", "footer", "aside", "form", "button", "select", "header", "head"}
+START = {"div": 5, "article": 5, "section": 3, "main": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "header": -1, "ul": -3, "ol": -3, "dl": -3, "address": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5}
+OUT = {"nav", "footer", "aside", "button", "select", "head"}
+#: May hold the content or be about the page: kept by score and link density.
+DOUBTFUL = {"form", "header"}
 BAD, GOOD = re.compile(r"\b(ads?|advert\w*|banner|comments?|footer|menu|nav\w*|promo|share|sidebar|social|sponsor\w*)\b", re.I), re.compile(r"\b(article|body|content|entry|main|page|post|story|text)\b", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]*))?|[/\s=]+|["']""")
@@ -180,8 +182,16 @@ def kept_siblings(top: Node, score: float) -> list[Node]:
     return out
 
 
-def text_of(nodes: list[Node]) -> str:
-    """Lines of the nodes' blocks, without navigation, forms and blocks marked as advertising."""
+def worthless(node: Node) -> bool:
+    """A form or header that is mostly links, or whose score (where it lies too far above its paragraphs to have one, those of all nodes in it) isn't positive."""
+    if node.tag not in DOUBTFUL:
+        return False
+    points = [node.points] if node.points is not None else [x.points for x in nodes_of(node) if x.points is not None]
+    return node.density() >= 0.5 or max(points, default=0.0) <= 0
+
+
+def text_of(nodes: list[Node], doubtful: bool = False) -> str:
+    """Lines of the nodes' blocks, without navigation and blocks marked as advertising; without worthless forms and headers, unless doubtful."""
     out: list[str] = []
     line: list[str] = []
 
@@ -198,7 +208,7 @@ def text_of(nodes: list[Node]) -> str:
             end_line()
         elif isinstance(x, str):
             line.append(x)
-        elif x.tag in OUT or x.weight < 0 and x not in nodes:
+        elif x.tag in OUT or x not in nodes and (x.weight < 0 or not doubtful and worthless(x)):
             continue
         elif x.tag == "br":
             end_line()
@@ -213,12 +223,13 @@ def text_of(nodes: list[Node]) -> str:
 
 
 def extract(text: str | None) -> tuple[str | None, str | None, float | None]:
-    """(title, text, score). A page without scored paragraphs gives all text outside navigation, with score 0."""
+    """(title, text, score). A page without scored paragraphs gives all text outside navigation, that of forms and headers if there is no other, with score 0."""
     if text is None:
         return None, None, None
     root, title = parse(text)
     top, score, _ = best(root)
-    return title, text_of(kept_siblings(top, score) if top else [root]), round(float(score), 6)
+    nodes = kept_siblings(top, score) if top else [root]
+    return title, text_of(nodes) or text_of(nodes, doubtful=True), round(float(score), 6)
 
 
 def _pages(batches):

@@ -98,6 +98,16 @@ def test_html_table(spark):
     assert html_extract.html_extract(p.limit(0)).count() == 0
 
 
+def test_html_keeps_wrapping_forms_and_leads_in_headers():
+    prose = "".join(f"<p>Paragraph {i} tells, at some length, what happened on the day, and why.</p>" for i in range(4))
+    title, text, score = html_extract.extract(f"<html><body><form id=aspnetForm><div>{prose}</div></form></body></html>")
+    assert score > 0 and text.count("Paragraph") == 4
+    article = f"<article><header><h1>Head</h1><p>The lead, which sums up all of it.</p></header>{prose}<form><label>E-mail</label><p>Subscribe to our letter today</p></form></article>"
+    text = html_extract.extract(f"<body><header><nav><a href=/>Home</a></nav><a href=/>Some site with a long name</a></header>{article}</body>")[1]
+    assert "The lead" in text and text.count("Paragraph") == 4 and "Subscribe" not in text and "Some site" not in text
+    assert html_extract.extract("<body><form>Short text</form></body>")[1:] == ("Short text", 0.0)
+
+
 def test_license_scan_finds_exact_and_edited_spans(docs):
     r = random.Random(4)
     noise = lambda n: " ".join(r.choice(CLEAN) for _ in range(n))
