@@ -204,8 +204,13 @@ COOC_DOC_SQL = f"""{ONE}, w AS (SELECT doc_id, token, count(*) AS n FROM t WHERE
 SELECT a.token AS row_word, b.token AS col_word, CAST(sum(a.n * b.n) AS BIGINT) AS value FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.token <> b.token GROUP BY ALL"""
 
 
-def q_ppmi(s, d):
-    return rounded(cooc.to_ppmi(cooc_small(s, d), 0.75))
+def cooc_whole(s, d, method="window"):
+    """Over the whole vocabulary; cooc_small() has the words of the SQL."""
+    return cooc.cooc_matrix(docs(s, d), method=method, horizon=(2, 3))
+
+
+def q_ppmi(s, d, matrix=cooc_whole):
+    return rounded(cooc.to_ppmi(matrix(s, d), 0.75))
 
 
 PPMI_SQL = COOC_SQL + """, r AS (SELECT row_word, sum(value) AS r FROM m GROUP BY 1), c AS (SELECT col_word, pow(sum(value), 0.75) AS c FROM m GROUP BY 1),
@@ -213,14 +218,18 @@ p AS (SELECT m.row_word, m.col_word, log2(m.value * (SELECT sum(c) FROM c) / (r.
 SELECT row_word, col_word, round(value, 6) AS value FROM p WHERE value > 0"""
 
 
-def q_cooc_sums(s, d):
-    return cooc.all_sums(cooc_small(s, d))
+def q_cooc_sums(s, d, matrix=cooc_whole):
+    return cooc.all_sums(matrix(s, d))
 
 
 COOC_SUMS_SQL = COOC_SQL + " SELECT row_word, col_word, CAST(sum(value) AS BIGINT) AS value, count(*) AS nnz FROM m GROUP BY GROUPING SETS ((row_word), (col_word), ())"
 
 
 def q_glove_cooc(s, d):
+    return rounded(embeddings.glove_cooc(docs(s, d), 5))
+
+
+def q_glove_cooc_of_words(s, d):
     inside = docs(s, d).select(F.filter("tokens", lambda t: t.isin(WORDS)).alias("tokens"))
     return rounded(embeddings.glove_cooc(inside, 5))
 
@@ -512,12 +521,17 @@ QUERIES = {
     "kwic_right": (kwic_query("right"), KWIC_SQL),
     "kwic_left": (kwic_query("left"), KWIC_SQL),
     "kwic_position": (kwic_query("position"), KWIC_SQL),
-    "cooc_window": (cooc_small, COOC_SQL + " SELECT * FROM m"),
-    "cooc_document": (lambda s, d: cooc_small(s, d, "document"), COOC_DOC_SQL),
+    "cooc_window": (cooc_whole, None),
+    "cooc_window_of_words": (cooc_small, COOC_SQL + " SELECT * FROM m"),
+    "cooc_document": (lambda s, d: cooc_whole(s, d, "document"), None),
+    "cooc_document_of_words": (lambda s, d: cooc_small(s, d, "document"), COOC_DOC_SQL),
     "cooc_full_window": (lambda s, d: cooc.cooc_matrix(docs(s, d), horizon=(0, 1)), f"{ONE} SELECT a.token AS row_word, b.token AS col_word, count(*) AS value FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 GROUP BY ALL"),
-    "cooc_sums": (q_cooc_sums, COOC_SUMS_SQL),
-    "ppmi": (q_ppmi, PPMI_SQL),
-    "glove_cooc": (q_glove_cooc, GLOVE_SQL),
+    "cooc_sums": (q_cooc_sums, None),
+    "cooc_sums_of_words": (lambda s, d: q_cooc_sums(s, d, cooc_small), COOC_SUMS_SQL),
+    "ppmi": (q_ppmi, None),
+    "ppmi_of_words": (lambda s, d: q_ppmi(s, d, cooc_small), PPMI_SQL),
+    "glove_cooc": (q_glove_cooc, None),
+    "glove_cooc_of_words": (q_glove_cooc_of_words, GLOVE_SQL),
     "ttr_variants": (q_ttr, TTR_SQL),
     "yule_k": (q_vocabulary_stats, STATS_SQL),
     "mattr_50": (q_mattr, None),

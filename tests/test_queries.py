@@ -1,5 +1,6 @@
 """Registered queries against brute force on small tables."""
 
+import math
 import re
 from collections import Counter
 
@@ -26,3 +27,26 @@ def test_relative_frequencies_of_all_words(spark, folder):
     total = Counter(lang for lang, t in TEXTS for _ in words(t))
     got = {(r["lang"], r["token"]): (r["n"], r["rel_freq"]) for r in QUERIES["relative_frequencies"][0](spark, folder).collect()}
     assert got == {k: (n, pytest.approx(n / total[k[0]], abs=1e-8)) for k, n in want.items()}
+
+
+def test_matrices_of_the_whole_vocabulary(spark, folder):
+    run = lambda name: {(r[0], r[1]): r[2] for r in QUERIES[name][0](spark, folder).collect()}
+    window, whole, glove = Counter(), Counter(), Counter()
+    for _, t in TEXTS:
+        w = words(t)
+        for i, a in enumerate(w):
+            window.update((a, b) for j, b in enumerate(w) if j != i and i - 2 <= j <= i + 3)
+            whole.update((a, b) for b in w if b != a)
+            for j, b in enumerate(w):
+                if 0 < abs(i - j) <= 5:
+                    glove[a, b] += 1 / abs(i - j)
+    assert run("cooc_window") == window and run("cooc_document") == whole
+    assert run("glove_cooc") == {k: pytest.approx(x, abs=1e-6) for k, x in glove.items()}
+    row, col = Counter(), Counter()
+    for (a, b), n in window.items():
+        row[a] += n
+        col[b] += n
+    total = sum(c**0.75 for c in col.values())
+    ppmi = {(a, b): math.log2(n * total / (row[a] * col[b] ** 0.75)) for (a, b), n in window.items()}
+    assert run("ppmi") == {k: pytest.approx(x, abs=1e-6) for k, x in ppmi.items() if x > 0}
+    assert run("cooc_sums") == {(a, None): n for a, n in row.items()} | {(None, b): n for b, n in col.items()} | {(None, None): sum(row.values())}
