@@ -382,18 +382,18 @@ def vecs(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vec"), "label")
 
 
-def q_cosine_topk(s, d):
+def q_cosine_topk(s, d, where="true"):
     v = vecs(s, d)
-    return rounded(vectors.most_similar(v.where("label = 0"), v, 5).select("query", "word", "similarity"), 5)
+    return rounded(vectors.most_similar(v.where(where), v, 5).select("query", "word", "similarity"), 5)
 
 
 COSINE_SQL = """SELECT query, word, round(s, 5) AS similarity FROM (SELECT a.vec_id AS query, b.vec_id AS word, s, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS r
 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s) WHERE a.label = 0) WHERE r <= 5"""
 
 
-def q_vector_distances(s, d):
-    v = vecs(s, d).where("label IN (1, 2)")
-    x, y = v.where("label = 1").select(F.col("word").alias("a"), F.col("vec").alias("x")), v.where("label = 2").select(F.col("word").alias("b"), F.col("vec").alias("y"))
+def q_vector_distances(s, d, of_a="true", of_b="true"):
+    v = vecs(s, d)
+    x, y = v.where(of_a).select(F.col("word").alias("a"), F.col("vec").alias("x")), v.where(of_b).select(F.col("word").alias("b"), F.col("vec").alias("y"))
     return rounded(x.crossJoin(y).select("a", "b", *[f(F.col("x"), F.col("y")).alias(k) for k, f in DISTANCES.items()]), 5)
 
 
@@ -550,8 +550,10 @@ QUERIES = {
     "reuse_seeds": (lambda s, d: reuse.seeds(*reuse_sides(s, d), 5), REUSE_SQL + " SELECT * FROM s"),
     "reuse_islands": (lambda s, d: reuse.islands(reuse.seeds(*reuse_sides(s, d), 5)), ISLAND_SQL),
     "reuse_passages": (lambda s, d: reuse.find_shared_sequences(*reuse_sides(s, d)), None),
-    "cosine_topk": (q_cosine_topk, COSINE_SQL),
-    "vector_distance_matrix": (q_vector_distances, DISTANCES_SQL),
+    "cosine_topk": (q_cosine_topk, None),
+    "cosine_topk_of_label": (lambda s, d: q_cosine_topk(s, d, "label = 0"), COSINE_SQL),
+    "vector_distance_matrix": (q_vector_distances, None),
+    "vector_distance_matrix_of_labels": (lambda s, d: q_vector_distances(s, d, "label = 1", "label = 2"), DISTANCES_SQL),
     "bias_projection": (q_bias, BIAS_SQL),
     "procrustes_align": (q_procrustes, PROCRUSTES_SQL),
     "temporal_drift": (q_drift, DRIFT_SQL),
