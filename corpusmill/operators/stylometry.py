@@ -182,7 +182,7 @@ class Stylometry:
         wide = lambda v, keys: v.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda s: s["value"]).alias("a")).withColumn("features", array_to_vector("a"))
         rows = written(self._ready().vectors, "vectors")  # read in every iteration
         index = StringIndexer(inputCol="author", outputCol="label").fit(rows)
-        model = OneVsRest(classifier=LinearSVC(maxIter=10, tol=1e-3)).fit(index.transform(wide(rows, ["doc_id", "author"])).select("label", "features").coalesce(4).persist())
+        model = OneVsRest(classifier=LinearSVC(maxIter=1000, tol=1e-6)).fit(index.transform(wide(rows, ["doc_id", "author"])).select("label", "features").coalesce(4).persist())
         return IndexToString(inputCol="prediction", outputCol="author", labels=index.labels).transform(model.transform(wide(self.transform(docs), ["doc_id"]))).select("doc_id", "author")
 
     def hierarchical_clustering(self, method: str = "average", level: str = "author", max_items: int = 5000) -> tuple[np.ndarray, list]:

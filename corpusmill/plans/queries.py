@@ -483,16 +483,16 @@ NPMI_SQL = TOPIC_SQL + " SELECT topic, round(avg(CASE WHEN n = total THEN 1 ELSE
 
 
 def q_lda(s, d):
-    m = topics.LDA(4, iterations=3, min_doc_count=20, max_vocab=300).fit(docs(s, d))
+    m = topics.LDA(10, iterations=100, max_vocab=None, estimate_alpha=1).fit(docs(s, d))
     return m.document_topics()
 
 
 def q_word2vec(s, d):
-    return embeddings.Word2Vec(size=16, min_count=50, epochs=1, max_vocab=500).train(docs(s, d)).vectors(s)
+    return embeddings.Word2Vec(size=100, min_count=5, cbow=True, max_vocab=None).train(docs(s, d)).vectors(s)
 
 
 def q_glove(s, d):
-    return embeddings.GloVe(size=16, min_count=50, epochs=2, max_vocab=300).train(docs(s, d)).vectors(s)
+    return embeddings.GloVe(size=100, min_count=5, max_vocab=None, max_pairs=1_000_000_000).train(docs(s, d)).vectors(s)
 
 
 QUERIES = {

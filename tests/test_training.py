@@ -29,6 +29,46 @@ def test_lda(two_topics, spark):
     assert got[2] == [0.5, 0.5] and sum(got[1]) == pytest.approx(1)
 
 
+def test_lda_gives_every_document_a_theta(spark):
+    d = spark.createDataFrame([(1, ["a", "a"]), (2, ["rare"]), (3, []), (4, None)], "doc_id bigint, tokens array<string>")
+    got = {r["doc_id"]: r["theta"] for r in topics.LDA(2, iterations=1, min_word_count=2, max_vocab=None).fit(d).document_topics().collect()}
+    assert got.keys() == {1, 2, 3, 4} and got[2] == got[3] == got[4] == [0.5, 0.5] and sum(got[1]) == pytest.approx(1)
+
+
+def test_registered_trainings_have_no_cap(spark, monkeypatch):
+    from corpusmill.plans import queries
+
+    made = []
+
+    class Spy:
+        def __init__(self, *a, **how):
+            made.append(how)
+
+        fit = train = lambda self, docs: self
+        document_topics = vectors = lambda self, *a: None
+
+    monkeypatch.setattr(queries, "docs", lambda s, d: None)
+    for module, name in ((topics, "LDA"), (embeddings, "Word2Vec"), (embeddings, "GloVe")):
+        monkeypatch.setattr(module, name, Spy)
+    for name in ("lda_fit", "w2v_train", "glove_train"):
+        queries.QUERIES[name][0](spark, "")
+    assert all(how["max_vocab"] is None and how.get("min_count", 5) == 5 and how.get("min_doc_count", 1) == 1 for how in made)
+    assert made[0]["iterations"] == 100
+
+
+def test_svm_is_trained_to_convergence(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC
+    from corpusmill.operators.stylometry import Stylometry
+
+    made, fit = [], LinearSVC._fit
+    monkeypatch.setattr(LinearSVC, "_fit", lambda self, rows: made.append((self.getMaxIter(), self.getTol())) or fit(self, rows))
+    d = spark.createDataFrame([(i, ["a"] * (3 + i) + ["b"] * (9 - i), "xy"[i > 3]) for i in range(8)], "doc_id bigint, tokens array<string>, author string")
+    m = Stylometry(n_features=2)
+    m.fit_transform(d)
+    assert {r["doc_id"]: r["author"] for r in m.svm_predict(d).collect()} == {i: "xy"[i > 3] for i in range(8)}
+    assert made and all(n >= 100 and tol <= 1e-6 for n, tol in made)
+
+
 def test_assignment():
     s = np.array([[0.9, 0.8, 0.0], [0.95, 0.1, 0.0], [0.0, 0.2, 0.3]])
     assert topics.assign(s) == [(0, 1), (1, 0), (2, 2)]
