@@ -8,7 +8,9 @@ compared exactly, each pair once, in the group of the first signature that it sh
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,12 @@ def word_sets() -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.unique(np.array([hash_word(w) for w in ws], np.uint64)) for ws in (ANCHORS, COMMON))
 
 
+def text_node(text: str) -> int | None:
+    """A hash of the words of a lower-case text; none without words."""
+    words = " ".join(re.findall(r"\w+", text))
+    return int.from_bytes(hashlib.blake2b(words.encode(), digest_size=8).digest(), "little", signed=True) if words else None
+
+
 def _sets(batches):
     reader, (anchors, common) = WordReader(), word_sets()
     for b in batches:
@@ -59,6 +67,12 @@ def _sets(batches):
                 rows.append(int(row[lo]))
                 sets.append(s[lo:hi])
         node = [int(mix(np.array([np.bitwise_xor.reduce(mix(s))], np.uint64) + np.uint64(len(s))).view(np.int64)[0]) for s in sets]
+        # without signatures: the class of the text's words
+        for k in sorted(set(range(b.num_rows)) - set(rows)):
+            if (x := text_node(b.column(1)[k].as_py())) is not None:
+                rows.append(k)
+                sets.append(np.empty(0, np.uint64))
+                node.append(x)
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "size", "sigs"])
 
 
@@ -134,8 +148,8 @@ def spotsigs(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: the documents whose signature sets have at least the Jaccard similarity threshold.
 
     Documents with equal sets are a class, its least id stands for it: pairs (least, member) with 1.0 for each class, and pairs of
-    the classes' least ids for similar sets. So all pairs follow, and thousands of copies don't become millions of rows. A document without a signature
-    (null, empty, short text) is in no pair; so is one with null id. Rows that share an id are one document, whose pairs are those of any of its rows. Other columns are ignored.
+    the classes' least ids for similar sets. So all pairs follow, and thousands of copies don't become millions of rows. Documents without a signature
+    are a class if their words are the same; one without words (null, empty text) is in no pair, nor is one with null id. Rows that share an id are one document, whose pairs are those of any of its rows. Other columns are ignored.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")

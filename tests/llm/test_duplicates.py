@@ -134,6 +134,11 @@ def test_spotsigs_odd_rows(docs):
     assert spotsigs.spotsigs(docs([])).count() == 0
 
 
+def test_spotsigs_pairs_copies_without_signatures(docs):
+    rows = [(1, "Один два три"), (2, "один, два три!"), (3, "word word word"), (4, "word word"), (5, "..."), (6, "..."), (7, "word word word")]
+    assert sorted(tuple(x) for x in spotsigs.spotsigs(docs(rows)).collect()) == [(1, 2, 1.0), (3, 7, 1.0)]
+
+
 def test_embedding_search_recall_and_precision(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 32))
