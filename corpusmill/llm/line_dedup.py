@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import remove, written
 
-SHARD_LINES, BITS_A_LINE, MAX_BITS = 1 << 18, 16, 1 << 21
+SHARD_LINES, BITS_A_LINE, MAX_BITS = 1 << 18, 16, 1 << 22
 
 
 def line_key(line):
@@ -70,58 +70,81 @@ def fold(bits: np.ndarray, fullest: float = 0.1) -> np.ndarray:
     return bits
 
 
+def _bitmap(shard: int, bits: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [shard], "words": [np.packbits(bits, bitorder="little").view(np.int64)], "mask": [len(bits) - 1]})
+
+
+NO_BITMAP = pd.DataFrame({"shard": pd.Series(dtype="int32"), "words": pd.Series(dtype=object), "mask": pd.Series(dtype="int64")})
+
+
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    blobs = [np.frombuffer(x, np.int64) for x in pdf["seen"]]
-    _, twice = bloom_pair(blobs, [np.frombuffer(x, np.int64) for x in pdf["repeated"]])
-    if not twice.any():
-        return pd.DataFrame({"shard": [], "words": [], "mask": []})
-    twice = fold(twice)
-    words = np.packbits(twice, bitorder="little").view(np.int64)
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "words": [words], "mask": [len(twice) - 1]})
+    _, twice = bloom_pair(*([np.frombuffer(x, np.int64) for x in pdf[c]] for c in ("seen", "repeated")))
+    return _bitmap(pdf["shard"].iloc[0], fold(twice)) if twice.any() else NO_BITMAP
 
 
-def _suspected() -> str:
-    at = lambda s: f"(shiftrightunsigned(h1, {s}) & mask)"
+def filter_table(hashes: DataFrame, shards: int, build) -> DataFrame:
+    """(shard, words, mask) of a column of hashes."""
+    return hashes.mapInArrow(_pack(shards), "shard int, seen binary, repeated binary").groupBy("shard").applyInPandas(build, "shard int, words array<bigint>, mask bigint")
+
+
+def _held(hash: str) -> str:
+    """SQL: whether a filter's words may hold the hash."""
+    at = lambda s: f"(shiftrightunsigned({hash}, {s}) & mask)"
     return " AND ".join(f"(shiftrightunsigned(words[cast(shiftright({at(s)}, 6) AS INT)], cast({at(s)} & 63 AS INT)) & 1) = 1" for s in (0, 21, 42))
 
 
+def shard_of(col: str, shards: int):
+    """The shard of a hash, as _pack() has it: shifts and xor can't overflow in ANSI mode."""
+    return F.expr(f"cast(pmod(shiftrightunsigned({col}, 11) ^ {col} ^ shiftright({col}, 37), {shards}) AS INT)")
+
+
+#: What tells documents apart: rows equal in both are one document.
+DOC = ("doc_id", "t")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, drop: array of (pos, h1)) of the documents with lines that occur earlier."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", line_key(F.col("line")).alias("line")).where("line <> ''")
-    table = written(lines.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")), "lines")
+    """(doc_id, t: hash of the text, drop: array of line numbers) of the documents with lines that occur earlier."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(*DOC, "pos", line_key(F.col("line")).alias("line")).where("line <> ''")
+    table = written(lines.select(*DOC, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")), "lines")
     shards = max(1, math.ceil(table.count() / SHARD_LINES))
-    packed = table.select("h1").mapInArrow(_pack(shards), "shard int, seen binary, repeated binary")
-    filters = written(packed.groupBy("shard").applyInPandas(_build, "shard int, words array<bigint>, mask bigint"), "filters")
+    filters = written(filter_table(table.select("h1"), shards, _build), "filters")
     sharded = table.withColumn("shard", shard_of("h1", shards))
-    suspects = written(sharded.alias("l").join(filters.alias("f"), (F.col("l.shard") == F.col("f.shard")) & F.expr(_suspected())).select("doc_id", "pos", "h1", "h2"), "suspects")
-    first = suspects.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("at.doc_id", "at.pos", "h1", F.lit(True).alias("first"))
-    both = suspects.select("doc_id", "pos", "h1", F.lit(False).alias("first")).unionByName(first)
-    of = lambda flag: F.collect_list(F.when(F.col("first") == flag, F.struct("pos", "h1")))
-    return both.groupBy("doc_id").agg(F.array_except(of(False), of(True)).alias("drop")).where(F.size("drop") > 0)
+    suspects = written(sharded.alias("l").join(filters.alias("f"), (F.col("l.shard") == F.col("f.shard")) & F.expr(_held("h1"))).select(*DOC, "pos", "h1", "h2"), "suspects")
+    first = suspects.groupBy("h1", "h2").agg(F.min(F.struct(*DOC, "pos")).alias("at")).select("at.*", F.lit(True).alias("first"))
+    both = suspects.select(*DOC, "pos", F.lit(False).alias("first")).unionByName(first)
+    of = lambda flag: F.collect_list(F.when(F.col("first") == flag, F.col("pos")))
+    out = written(both.groupBy(*DOC).agg(F.array_except(of(False), of(True)).alias("drop")).where(F.size("drop") > 0), "drops")
+    remove(table)
+    remove(suspects)
+    return out
 
 
-def shard_of(col: str, shards: int):
-    """The shard of a hash, as _pack() has it: shifts and xor can't overflow in ANSI mode."""
-    return F.expr(f"cast(pmod(shiftrightunsigned({col}, 11) ^ {col} ^ shiftright({col}, 37), {shards}) AS INT)")
+def with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """docs with __drop, null where nothing is dropped."""
+    drops = drops.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("drop").alias("__drop"))
+    same = (F.col("__hash") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    return hashed.join(drops, same, "left").drop("__id", "__t", "__hash")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with its text without the lines that an earlier place holds, and n_lines, n_dropped.
 
     A line is what stands between newlines; lines are equal if they are so without blanks at their ends. The first place
-    (smallest doc_id, null first, then line number) keeps the line. Blank lines stay. Null text stays null with 0 lines,
-    empty text stays empty. Rows that share doc_id and text are one document and get the same text. A document of
-    repeats alone keeps its row with empty text. Other columns pass through; columns named n_lines or n_dropped are replaced.
+    (smallest doc_id, null first; then, among rows that share an id or have none, smallest hash of the text; then line number)
+    keeps the line. Blank lines stay. Null text stays null with 0 lines, empty text stays empty. Rows that share doc_id and text are one
+    document and get the same text; rows that share an id but differ in text are different documents. A document of
+    repeats alone keeps its row with empty text. A table without repeated lines comes back as it is, an empty one empty.
+    Other columns pass through; columns named n_lines or n_dropped are replaced.
     """
-    drops = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    out = docs.drop("n_lines", "n_dropped").join(drops, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    out = with_drops(docs.drop("n_lines", "n_dropped"), repeated_lines(docs))
     lines = F.split("text", "\n")
-    keep = lambda x, i: ~F.exists("__drop", lambda d: (d["pos"] == i) & (d["h1"] == F.xxhash64(line_key(x)))) | (line_key(x) == "")
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, keep))
-    out = out.withColumn("__kept", kept)
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    n = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
-    return out.withColumns({"n_lines": n(lines), "n_dropped": n(lines) - n("__kept"), "text": text}).drop("__id", "__drop", "__kept")
+    # by hash sets, so that the time is linear in the lines
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
+    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i)))
+    n = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("long")
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return out.withColumns({"n_lines": n(F.size(lines)), "n_dropped": n(F.coalesce(F.size("__drop"), F.lit(0))), "text": text}).drop("__drop")
 
 
 SQL = r"""

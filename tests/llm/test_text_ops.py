@@ -8,32 +8,56 @@ from hashlib import md5
 import numpy as np
 import pyarrow as pa
 
+import pytest
+
 from corpusmill.llm import line_dedup, mixing, packing
 from corpusmill.llm.wordhash import WordReader, hash_word
 
 
-def brute_lines(rows):
+def text_hash(spark, rows):
+    """Texts' hashes, which order rows that share an id."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(t,) for _, t in rows], "t string")
+    return {x["t"]: x["h"] for x in d.select("t", F.xxhash64("t").alias("h")).distinct().collect()}
+
+
+def brute_lines(rows, hashes):
+    """{(id, text): (text, n_lines, n_dropped)}"""
     seen, out = {}, {}
-    for i, t in sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for i, t in sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):
         if t is None:
-            out[i] = (None, 0, 0)
+            out[i, t] = (None, 0, 0)
             continue
         kept, lines = [], t.split("\n")
         for k, line in enumerate(lines):
             key = line.strip(" \t\r")
-            if key == "" or seen.setdefault(key, (i, k)) == (i, k):
+            if key == "" or seen.setdefault(key, (i, t, k)) == (i, t, k):
                 kept.append(line)
-        out[i] = ("\n".join(kept), len(lines), len(lines) - len(kept))
+        out[i, t] = ("\n".join(kept), len(lines), len(lines) - len(kept))
     return out
 
 
-def test_line_dedup_equals_brute_force(docs):
+def same_lines(docs, spark, rows):
+    d = docs(rows).selectExpr("*", "text AS before")
+    got = sorted(((x["doc_id"], x["before"], x["text"], x["n_lines"], x["n_dropped"]) for x in line_dedup.line_dedup(d).collect()), key=str)
+    want = brute_lines(rows, text_hash(spark, rows))
+    assert got == sorted(((i, t, *want[i, t]) for i, t in rows), key=str)
+
+
+def test_line_dedup_equals_brute_force(docs, spark, monkeypatch):
     r = random.Random(1)
     words = [f"line {k}" for k in range(60)] + ["", " x", "x ", "\tx"]
     rows = [(i, "\n".join(r.choice(words) for _ in range(r.randrange(12)))) for i in range(200)]
     rows += [(900, None), (901, ""), (902, "\n\n"), (903, "y " * 200_000 + "\n" + "y " * 200_000), (None, "line 3\nonly here")]
-    got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_dropped"]) for x in line_dedup.line_dedup(docs(rows)).collect()}
-    assert got == brute_lines(rows)
+    same_lines(docs, spark, rows)
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 64)  # some shards have repeats, some have none
+    same_lines(docs, spark, rows)
+
+
+@pytest.mark.parametrize("rows", [[(1, "a"), (2, "b")], [(1, "only\nthis")], [(1, None)], [(1, "")], [(1, "a\nb"), (1, "a\nc")], [(None, "a\nb"), (None, "a\nc"), (None, "a\nb")], [(5, "x\ny\nx"), (4, "y")], [(1, "a\n" * 50_000 + "b")]])
+def test_line_dedup_without_repeats_and_with_shared_ids(docs, spark, rows):
+    same_lines(docs, spark, rows)
 
 
 def test_line_dedup_repeated_rows_extra_columns_and_empty(docs, spark):
