@@ -3,7 +3,8 @@
 Lines become 128-bit hashes in a compact table. Hashes travel packed, 8 bytes each, to shards of bounded size; each shard
 keeps a once-seen and a twice-seen filter and returns the second, folded to what it holds. Filters are a table: the
 planner broadcasts it while it is small and else joins by shard. Suspects alone are grouped, with map-side
-combining, so a line that half of all documents hold is no hot key.
+combining, so a line that half of all documents hold is no hot key. Texts stay where they are: the line numbers to drop are broadcast
+while they are few; else a filter of the documents concerned tells whose text must shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import remove, written
 
 SHARD_LINES, BITS_A_LINE, MAX_BITS = 1 << 18, 16, 1 << 22
+#: Documents to be changed are broadcast up to so many rows and line numbers; beyond, only their texts shuffle.
+MOST_ROWS, MOST_LINES = 1_000_000, 8_000_000
 
 
 def line_key(line):
@@ -82,6 +85,12 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return _bitmap(pdf["shard"].iloc[0], fold(twice)) if twice.any() else NO_BITMAP
 
 
+def _build_once(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The filter of all hashes of a shard."""
+    once, _ = bloom_pair([np.frombuffer(x, np.int64) for x in pdf["seen"]], [])
+    return _bitmap(pdf["shard"].iloc[0], fold(once))
+
+
 def filter_table(hashes: DataFrame, shards: int, build) -> DataFrame:
     """(shard, words, mask) of a column of hashes."""
     return hashes.mapInArrow(_pack(shards), "shard int, seen binary, repeated binary").groupBy("shard").applyInPandas(build, "shard int, words array<bigint>, mask bigint")
@@ -120,11 +129,21 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """docs with __drop, null where nothing is dropped."""
+    """docs with __drop, null where nothing is dropped. Texts of documents without such lines don't shuffle; where drops is small, none does."""
+    spark = docs.sparkSession
+    n, lines = drops.agg(F.count("*"), F.sum(F.size("drop"))).first()
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("drop").alias("__drop"))
     same = (F.col("__hash") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    return hashed.join(drops, same, "left").drop("__id", "__t", "__hash")
+    if n <= MOST_ROWS and (lines or 0) <= MOST_LINES:
+        return hashed.join(F.broadcast(drops), same, "left").drop("__id", "__t", "__hash")
+    shards = max(1, math.ceil(n / SHARD_LINES))
+    concerned = written(filter_table(drops.select("__t"), shards, _build_once), "concerned").select(F.col("shard").alias("__shard"), F.col("words").alias("__words"), F.col("mask").alias("__mask"))
+    held = F.expr(_held("__hash").replace("words[", "__words[").replace("mask", "__mask"))
+    marked = hashed.join(concerned, shard_of("__hash", shards) == F.col("__shard"), "left").withColumn("__held", F.coalesce(held, F.lit(False))).drop("__shard", "__words", "__mask")
+    stay = marked.where("NOT __held").withColumn("__drop", F.lit(None).cast("array<int>"))
+    go = marked.where("__held").join(drops, same, "left").drop("__id", "__t")
+    return stay.unionByName(go.select(*stay.columns)).drop("__held", "__hash")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
