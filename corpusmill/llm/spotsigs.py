@@ -28,19 +28,18 @@ COMMON = ANCHORS + "of and to in it for on with as by from at or not but you he
 
 def signatures(column: pa.Array, reader: WordReader, anchors: np.ndarray, common: np.ndarray):
     """(row, signature) of a column of lower-case texts, each once, in order of both."""
-    for c in reader.chunks(column):
-        content = np.flatnonzero(~np.isin(c.hash, common))
-        spots = np.flatnonzero(np.isin(c.hash, anchors))
+    for doc, word in reader.read(column, lambda w: (w.doc, w.hash)):
+        content = np.flatnonzero(~np.isin(word, common))
+        spots = np.flatnonzero(np.isin(word, anchors))
         k = np.searchsorted(content, spots, side="right")
-        last = k + (CHAIN - 1) * STEP
-        ok = last < len(content)
+        ok = k + (CHAIN - 1) * STEP < len(content)
         spots, k = spots[ok], k[ok]
-        ok = c.doc[content[k + (CHAIN - 1) * STEP]] == c.doc[spots]
+        ok = doc[content[k + (CHAIN - 1) * STEP]] == doc[spots]
         spots, k = spots[ok], k[ok]
-        s = c.hash[spots]
+        s = word[spots]
         for j in range(CHAIN):
-            s = mix(s * np.uint64(0x9E3779B97F4A7C15) + c.hash[content[k + j * STEP]])
-        row = c.doc[spots]
+            s = mix(s * np.uint64(0x9E3779B97F4A7C15) + word[content[k + j * STEP]])
+        row = doc[spots]
         order = np.lexsort((s, row))
         row, s = row[order], s[order]
         new = np.r_[True, (row[1:] != row[:-1]) | (s[1:] != s[:-1])] if len(row) else np.empty(0, bool)

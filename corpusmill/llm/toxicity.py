@@ -20,16 +20,25 @@ from .wordhash import WordReader
 STEMS, CLIP = (4, 5), 3
 
 
+def _distinct(c) -> tuple[np.ndarray, ...]:
+    """Each distinct word of each text once: row, hash, and for each length of STEMS the prefix's hash, 0 where the word isn't longer."""
+    names, first, at = np.unique(c.hash, return_index=True, return_inverse=True)
+    pairs = np.unique(c.doc * max(1, len(names)) + at)
+    row, word = pairs // max(1, len(names)), first[pairs % max(1, len(names))]
+    length = (c.stop - c.start)[word]
+    return row, c.hash[word], *(np.where(length > n, c.prefix(n)[word], np.uint64(0)) for n in STEMS)
+
+
 def text_features(column: pa.Array, reader: WordReader):
     """For each chunk of lower-case texts: (row, feature, times) with rows in order; times counts a row's distinct words with the feature, CLIP at most."""
-    for c in reader.chunks(column):
-        names, first, at = np.unique(c.hash, return_index=True, return_inverse=True)
-        pairs = np.unique(c.doc * max(1, len(names)) + at)
-        row, word = pairs // max(1, len(names)), first[pairs % max(1, len(names))]
-        every = [c.hash, *(c.prefix(n) for n in STEMS)]
-        long_enough = [slice(None), *((c.stop - c.start)[word] > n for n in STEMS)]
-        rows = np.concatenate([row[k] for k in long_enough])
-        feats = np.concatenate([f[word][k] for f, k in zip(every, long_enough)])
+    for row, word, *prefixes in reader.read(column, _distinct):
+        order = np.lexsort((word, row))
+        new = np.r_[True, (np.diff(row[order]) != 0) | (np.diff(word[order]) != 0)] if len(row) else np.empty(0, bool)
+        order = order[new]  # pieces of a long text share words
+        row = row[order]
+        each = [word[order], *(p[order] for p in prefixes)]
+        rows = np.concatenate([row[f != 0] for f in each])
+        feats = np.concatenate([f[f != 0] for f in each])
         order = np.lexsort((feats, rows))
         rows, feats = rows[order], feats[order]
         cuts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (feats[1:] != feats[:-1])]) if len(rows) else np.empty(0, np.int64)

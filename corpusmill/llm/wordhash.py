@@ -91,8 +91,25 @@ class WordReader:
     def __init__(self):
         self.powers, self.values, self.ok = Powers(), byte_values(), word_bytes()
 
-    def chunks(self, column: pa.Array):
-        """The Words of a column of strings, whole texts in chunks of about CHUNK bytes; null is empty."""
+    def words(self, data: np.ndarray, offsets: np.ndarray, first: int) -> Words:
+        return Words(data, offsets, first, self.powers, self.values, self.ok)
+
+    def cut(self, data: np.ndarray, at: int) -> int:
+        """A place at or before at + 1 where data can be cut without cutting a word, else the first one after it; the end if there is none."""
+        if at >= len(data):
+            return len(data)
+        free = ~self.ok | (np.arange(256) >= 0xE3)  # a separator, or the first byte of a character that is a word
+        for lo, hi in ((at // 2, at + 1), *((x, x + at) for x in range(at + 1, len(data), at))):
+            places = np.flatnonzero(free[data[lo:hi]])
+            if len(places):
+                return lo + int(places[-1 if lo < at else 0])
+        return len(data)
+
+    def read(self, column: pa.Array, take):
+        """take(Words), a tuple of arrays, for a column of strings in chunks of whole texts of about CHUNK bytes; null is empty.
+
+        A longer text is read in pieces, so that memory for it is what take keeps of each; their arrays come joined.
+        """
         column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
         n = len(column)
         if not n:
@@ -104,11 +121,18 @@ class WordReader:
         while lo < n:
             hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, side="right")) - 1))
             part = data[offsets[lo] : offsets[hi]]
-            if len(part):
-                yield Words(part, offsets[lo : hi + 1] - offsets[lo], lo, self.powers, self.values, self.ok)
+            if 0 < len(part) <= CHUNK:
+                yield take(self.words(part, offsets[lo : hi + 1] - offsets[lo], lo))
+            elif len(part):
+                pieces = []
+                while len(part):
+                    end = max(1, self.cut(part, CHUNK))
+                    pieces.append(take(self.words(part[:end], np.array([0, end]), lo)))
+                    part = part[end:]
+                yield tuple(map(np.concatenate, zip(*pieces)))
             lo = hi
 
 
 def hash_word(word: str) -> int:
     """The hash of one lower-case word (no separators in it)."""
-    return int(next(WordReader().chunks(pa.array([word], pa.string()))).hash[0])
+    return int(next(WordReader().read(pa.array([word], pa.string()), lambda w: (w.hash,)))[0][0])

@@ -51,15 +51,27 @@ def test_line_dedup_equals_brute_force(docs, spark, monkeypatch):
     rows = [(i, "\n".join(r.choice(words) for _ in range(r.randrange(12)))) for i in range(200)]
     rows += [(900, None), (901, ""), (902, "\n\n"), (903, "y " * 200_000 + "\n" + "y " * 200_000), (None, "line 3\nonly here")]
     same_lines(docs, spark, rows)
+    monkeypatch.setattr(line_dedup, "MOST_ROWS", 0)
     monkeypatch.setattr(line_dedup, "SHARD_LINES", 64)  # some shards have repeats, some have none
     same_lines(docs, spark, rows)
 
 
 @pytest.mark.parametrize("rows", [[(1, "a"), (2, "b")], [(1, "only\nthis")], [(1, None)], [(1, "")], [(1, "a\nb"), (1, "a\nc")], [(None, "a\nb"), (None, "a\nc"), (None, "a\nb")], [(5, "x\ny\nx"), (4, "y")], [(1, "a\n" * 50_000 + "b")]])
-def test_line_dedup_without_repeats_and_with_shared_ids(docs, spark, rows):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_line_dedup_without_repeats_and_with_shared_ids(docs, spark, monkeypatch, rows, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(line_dedup, "MOST_ROWS", -1)
     same_lines(docs, spark, rows)
 
 
+def test_line_dedup_sends_only_the_texts_concerned(docs, spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_ROWS", -1)
+    d = docs([(i, f"own line {i}\n" + ("shared" if i < 5 else f"other {i}")) for i in range(2000)])
+    drops = line_dedup.repeated_lines(d)
+    out = line_dedup.with_drops(d, drops)
+    assert out.where("__drop IS NOT NULL").count() == 4 and out.count() == 2000
+
+
 def test_line_dedup_repeated_rows_extra_columns_and_empty(docs, spark):
     from pyspark.sql import functions as F
 
@@ -142,9 +154,25 @@ def test_packing_is_an_exact_round_trip(docs):
 def test_word_hashes_agree_with_a_regex():
     texts = ["hello world's end", "", None, "日本 go", "a b—c", "x" * 3_000_000 + " y", "été_9"]
     reader, got = WordReader(), {}
-    for c in reader.chunks(pa.array(texts)):
-        for d, h in zip(c.doc, c.hash):
+    for doc, hashes in reader.read(pa.array(texts), lambda w: (w.doc, w.hash)):
+        for d, h in zip(doc, hashes):
             got.setdefault(int(d), []).append(int(h))
     for k, t in enumerate(texts):
         words = re.findall(r"[a-z0-9_éèà]+|[　-￿]", (t or ""))
         assert got.get(k, []) == [hash_word(w) for w in words]
+
+
+def test_words_of_long_texts_are_read_in_pieces(monkeypatch):
+    from corpusmill.llm import wordhash
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["ab", "cde", "日本", "x—y", "été", "q" * 50]) for _ in range(r.randrange(120))) for _ in range(30)] + ["z" * 1000, "日" * 300, ""]
+    got = {}
+    for size in (1 << 20, 64, 17):
+        monkeypatch.setattr(wordhash, "CHUNK", size)
+        for doc, h in WordReader().read(pa.array(texts), lambda w: (w.doc, w.hash)):
+            for d, x in zip(doc, h):
+                got.setdefault((size, int(d)), []).append(int(x))
+    for size in (64, 17):
+        for d in range(len(texts)):
+            assert got.get((size, d)) == got.get((1 << 20, d))
