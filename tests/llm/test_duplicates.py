@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +43,46 @@ def groups(pairs):
 
 
 def test_masks_cover_every_pair_within_the_radius():
-    m = simhash.masks(4)
-    assert len(m) == 31
-    rng = np.random.default_rng(0)
-    for _ in range(3000):
-        bits = rng.choice(64, rng.integers(1, 5), replace=False)
-        d = np.uint64(sum(1 << int(b) for b in bits))
-        assert ((m & d) == 0).any()
+    for radius in (4, simhash.RADIUS // simhash.WORDS):
+        m = simhash.masks(radius)
+        assert len(m) == 2 ** (radius + 1) - 1 and np.bitwise_count(m).min() >= 20
+        rng = np.random.default_rng(0)
+        for _ in range(3000):
+            bits = rng.choice(64, rng.integers(1, radius + 1), replace=False)
+            d = np.uint64(sum(1 << int(b) for b in bits))
+            assert ((m & d) == 0).any()
+
+
+M = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def plain_hash(word):
+    base = 0x9E3779B97F4A7C15
+    return plain_mix(sum(plain_mix((b + 1) * base & M) * pow(base, i, M + 1) for i, b in enumerate(word.encode())) + 1 & M)
+
+
+def plain_code(text, power):
+    """The code of a text, written anew: a set of the bits that are on."""
+    total = [0] * 256
+    for word, times in Counter(re.findall(r"[a-z0-9_]+", text.lower())).items():
+        weight, h = round(16 * times**power), plain_hash(word)
+        for k in range(4):
+            bits = plain_mix(h + (k + 1) * 0x632BE59BD9B4E019 & M)
+            for i in range(64):
+                total[64 * k + i] += weight if bits >> i & 1 else -weight
+    return {i for i, x in enumerate(total) if x > 0}
 
 
 def brute_groups(rows):
-    at, codes = simhash.text_codes(pa.array([t.lower() for _, t in rows]), WordReader())
-    ids = [rows[k][0] for k in at]
-    pairs = [(ids[i], ids[j]) for i, j in itertools.combinations(range(len(ids)), 2) if simhash.close(codes[i : i + 1], codes[j : j + 1], simhash.RADIUS, simhash.TOTAL)[0]]
-    return groups(pairs)
+    codes = {i: [plain_code(t, p) for p in simhash.POWERS] for i, t in rows if re.search("[a-z0-9_]", t.lower())}
+    near = lambda a, b: all(len(x ^ y) <= most for x, y, most in zip(codes[a], codes[b], (simhash.RADIUS, simhash.CONFIRM)))
+    return groups([(a, b) for a, b in itertools.combinations(codes, 2) if near(a, b)])
 
 
 def test_simhash_equals_all_pairs(docs):
@@ -64,20 +92,33 @@ def test_simhash_equals_all_pairs(docs):
     assert all(b < a for a, b in got)
 
 
-def test_simhash_pairs_are_all_within_the_whole_code(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    bits = rng.integers(0, 2, (60, 256), dtype=np.uint8)
+def planted_codes(seed=4):
+    """Codes in pairs at distances around the radius and the confirming limit, and a hundred close variants of one."""
+    rng = np.random.default_rng(seed)
+    bits = rng.integers(0, 2, (60, 512), dtype=np.uint8)
     flipped = bits.copy()
-    for k in range(60):  # 10 of each word at most 40 bits, or one word more
-        for w in range(4):
-            flipped[k, w * 64 + rng.choice(64, 10 + (k % 3 == 0 and w == 3), replace=False)] ^= 1
-    codes = np.packbits(np.r_[bits, flipped], axis=1).view(np.int64)
-    table = spark.createDataFrame([(i, i + 1, *map(int, c)) for i, c in enumerate(codes)], "doc_id bigint, node bigint, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
-    monkeypatch.setattr(simhash, "code_table", lambda docs: table)
-    want = sorted((60 + k, k) for k in range(60) if k % 3)
-    for block in (1000, 25):
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        assert sorted(map(tuple, simhash.duplicates(None).collect())) == want
+    for k in range(60):
+        for lo, most in ((0, simhash.RADIUS + k % 2), (256, simhash.CONFIRM + (k % 3 == 0))):
+            flipped[k, lo + rng.choice(256, most, replace=False)] ^= 1
+    hot = np.repeat(bits[:1], 100, axis=0)
+    for k in range(100):
+        hot[k, rng.choice(64, 3, replace=False)] ^= 1
+    return np.packbits(np.r_[bits, flipped, hot], axis=1).view(np.int64)
+
+
+def test_simhash_finds_every_pair_within_the_radius(spark, monkeypatch):
+    codes = planted_codes()
+    table = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(codes)], ["node", *simhash.CODE])
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(codes)), 2) if simhash.close(codes[i : i + 1], codes[j : j + 1], simhash.RADIUS, simhash.CONFIRM)[0]]
+    assert sum((k, k + 60) in pairs for k in range(60)) == 20 and len(pairs) > 4000
+    # as it is; with cells cut into blocks; with full buckets in tiles
+    for cell, most, tile in ((400_000, 20_000, 8192), (150, 50, 16)):
+        monkeypatch.setattr(simhash, "CELL_ENTRIES", cell)
+        monkeypatch.setattr(simhash, "BUCKET_PAIRS", most)
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "block_of", lambda node, blocks: (node.view(np.uint64) % np.uint64(blocks)).astype(np.int64))
+        edges = [tuple(x) for x in simhash.near_edges(table).collect()]
+        assert groups(edges) == groups(pairs)
 
 
 def test_simhash_odd_rows_and_one_of_each_group_stays(docs):
