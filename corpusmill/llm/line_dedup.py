@@ -156,14 +156,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     repeats alone keeps its row with empty text. A table without repeated lines comes back as it is, an empty one empty.
     Other columns pass through; columns named n_lines or n_dropped are replaced.
     """
-    out = with_drops(docs.drop("n_lines", "n_dropped"), repeated_lines(docs))
-    lines = F.split("text", "\n")
+    lines = F.col("__lines")  # a column of its own: else each use would split the text again
+    out = with_drops(docs.drop("n_lines", "n_dropped"), repeated_lines(docs)).withColumn("__lines", F.split("text", "\n"))
     # by hash sets, so that the time is linear in the lines
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i)))
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     n = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("long")
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.withColumns({"n_lines": n(F.size(lines)), "n_dropped": n(F.coalesce(F.size("__drop"), F.lit(0))), "text": text}).drop("__drop")
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)
+    return out.withColumns({"n_lines": n(F.size(lines)), "n_dropped": n(F.coalesce(F.size("__drop"), F.lit(0))), "text": text}).drop("__drop", "__lines")
 
 
 SQL = r"""
