@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.sql(), "op5_packing": packing.sql()}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.sql(), "op5_packing": packing.sql(), "op8_embedding_pq": pq.sql()}

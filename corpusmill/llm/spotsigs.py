@@ -17,7 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import sized, written
+from .components import components
+from .simhash import least_labels
 from .wordhash import WordReader, hash_word, mix
 
 CHAIN, STEP = 2, 1
@@ -57,22 +59,16 @@ def text_node(text: str) -> int | None:
 
 
 def _sets(batches):
+    """(doc_id, node, size, sigs) of every row; node is a hash of the set, or of the text's words if it has no signature, null without words."""
     reader, (anchors, common) = WordReader(), word_sets()
     for b in batches:
-        rows, sets = [], []
+        sets: list = [np.empty(0, np.uint64)] * b.num_rows
         for row, s in signatures(b.column(1), reader, anchors, common):
             cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
             for lo, hi in zip(cuts, [*cuts[1:], len(row)]):
-                rows.append(int(row[lo]))
-                sets.append(s[lo:hi])
-        node = [int(mix(np.array([np.bitwise_xor.reduce(mix(s))], np.uint64) + np.uint64(len(s))).view(np.int64)[0]) for s in sets]
-        # without signatures: the class of the text's words
-        for k in sorted(set(range(b.num_rows)) - set(rows)):
-            if (x := text_node(b.column(1)[k].as_py())) is not None:
-                rows.append(k)
-                sets.append(np.empty(0, np.uint64))
-                node.append(x)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "size", "sigs"])
+                sets[int(row[lo])] = s[lo:hi]
+        node = [int(mix(np.array([np.bitwise_xor.reduce(mix(s))], np.uint64) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else text_node(t.as_py() or "") for s, t in zip(sets, b.column(1))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "size", "sigs"])
 
 
 def _pack(groups: int):
@@ -128,41 +124,64 @@ def _meet(threshold: float):
     return run
 
 
+def shared_counts(left: np.ndarray, right: np.ndarray, begin: np.ndarray, sigs: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Of each pair of sets the number of signatures in both. Set k is sigs[begin[k]:begin[k + 1]], numbers from 0 on, without repeats."""
+    n = np.diff(begin)
+    top = int(sigs.max(initial=0)) + 1
+    held = np.sort(np.repeat(np.arange(len(n)), n) * top + sigs)
+    out = np.zeros(len(left), np.int64)
+    upto = np.cumsum(n[left])
+    lo = 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        size = n[left[lo:hi]]
+        pair = np.repeat(np.arange(lo, hi), size)
+        at = np.repeat(begin[left[lo:hi]], size) + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+        ask = right[pair] * top + sigs[at]
+        k = np.minimum(np.searchsorted(held, ask), len(held) - 1)
+        out += np.bincount(pair[held[k] == ask], minlength=len(left))
+        lo = hi
+    return out
+
+
 def _compare(threshold: float):
     def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        of = {n: (np.asarray(s), z) for n, s, z in zip(sets["node"], sets["sigs"], sets["size"])}
-        out = []
-        for a, b in zip(pairs["a"], pairs["b"]):
-            (x, m), (y, n) = of[a], of[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            j = both / (m + n - both)
-            if j >= threshold - 1e-12:
-                out.append((a, b, j))
-        return pd.DataFrame(out, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
+        """For each node of the block with a link: another one of its group, and the number of rows that it has links to here."""
+        sets = sets.sort_values("node")
+        names, size, rows = (sets[c].to_numpy(np.int64) for c in ("node", "size", "rows"))
+        _, sigs = np.unique(np.concatenate([*sets["sigs"], np.empty(0, np.int64)]), return_inverse=True)
+        begin = np.r_[0, np.cumsum([len(s) for s in sets["sigs"]])].astype(np.int64)
+        a, b = (np.searchsorted(names, pairs[c].to_numpy(np.int64)) for c in "ab")
+        both = shared_counts(a, b, begin, sigs.astype(np.int64))
+        ok = both / np.maximum(size[a] + size[b] - both, 1) >= threshold - 1e-12
+        a, b = a[ok], b[ok]
+        links = (np.bincount(a, rows[b], len(names)) + np.bincount(b, rows[a], len(names))).astype(np.int64)
+        label = least_labels(a, b, len(names))
+        some = links > 0
+        return pd.DataFrame({"u": names[some], "v": names[label[some]], "links": links[some]})
 
     return run
 
 
 def spotsigs(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: the documents whose signature sets have at least the Jaccard similarity threshold.
+    """(doc_id, class_id, n_links), one row for each row of docs. n_links: the other rows whose signature sets have at least the Jaccard similarity threshold with its own.
+    class_id: the least doc_id of the rows that links join with it, directly or through others; its own where it has none.
 
-    Documents with equal sets are a class, its least id stands for it: pairs (least, member) with 1.0 for each class, and pairs of
-    the classes' least ids for similar sets. So all pairs follow, and thousands of copies don't become millions of rows. Documents without a signature
-    are a class if their words are the same; one without words (null, empty text) is in no pair, nor is one with null id. Rows that share an id are one document, whose pairs are those of any of its rows. Other columns are ignored.
+    Rows with equal sets are links, and so are rows without a signature whose words are the same. Null, empty and wordless texts have no link. Repeated rows, and rows that share an id or
+    have none, are rows of their own; null is no least id, but the class of a group without ids. Long texts are read in pieces, as one text. Other columns are ignored.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
-    table = written(rows.mapInArrow(_sets, "doc_id bigint, node bigint, size int, sigs binary"), "sets")
-    groups = max(1, math.ceil((table.agg(F.sum("size")).first()[0] or 0) / GROUP_ENTRIES))
-    shared = written(table.select("node", "size", "sigs").mapInArrow(_pack(groups), "g int, sig binary, node binary").groupBy("g").applyInPandas(_shared, "node bigint, sig bigint, df bigint"), "shared")
-    sizes = table.groupBy("node").agg(F.first("size").alias("size"), F.min("doc_id").alias("least"))
-    sizes = written(sizes, "sizes")
+    table = written(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_sets, "doc_id bigint, node bigint, size int, sigs binary"), "sets")
+    sets = table.where("size > 0")
+    groups = max(1, math.ceil((sets.agg(F.sum("size")).first()[0] or 0) / GROUP_ENTRIES))
+    shared = written(sets.select("node", "size", "sigs").mapInArrow(_pack(groups), "g int, sig binary, node binary").groupBy("g").applyInPandas(_shared, "node bigint, sig bigint, df bigint"), "shared")
+    sizes = written(table.where("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.count("*").alias("rows")), "sizes")
     # in order of rarity a set begins with its own signatures, which are known by number alone
     entry = F.array_sort(F.collect_list(F.struct("df", "sig")))
-    lists = shared.groupBy("node").agg(entry.alias("s")).join(sizes.select("node", "size"), "node")
+    lists = shared.groupBy("node").agg(entry.alias("s")).join(sizes, "node")
     length = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("s"))
-    lists = written(lists.where(length > 0).select("node", "size", length.cast("int").alias("n"), F.transform("s", lambda x: x["sig"]).alias("sigs")), "lists")
+    lists = written(lists.where(length > 0).select("node", "size", "rows", length.cast("int").alias("n"), F.transform("s", lambda x: x["sig"]).alias("sigs")), "lists")
     first = lists.select("node", "size", F.explode(F.slice("sigs", 1, F.col("n"))).alias("sig"))
     parts = max(1, math.ceil((lists.agg(F.sum("n")).first()[0] or 0) / GROUP_ENTRIES * 4))
     met = first.groupBy(F.pmod("sig", F.lit(parts))).applyInPandas(_meet(threshold), "a bigint, b bigint, sig bigint")
@@ -170,9 +189,14 @@ def spotsigs(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     blocks = max(1, math.ceil(pairs.count() / PAIRS_A_BLOCK))
     pairs = pairs.withColumn("k", F.pmod("sig", F.lit(blocks)))
     need = pairs.select(F.col("k").alias("block"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = need.join(lists.select("node", "size", "sigs"), "node")
-    near = pairs.groupBy("k").cogroup(sets.groupBy("block")).applyInPandas(_compare(threshold), "a bigint, b bigint, jaccard double")
-    x, y = sizes.select(F.col("node").alias("a"), F.col("least").alias("da")), sizes.select(F.col("node").alias("b"), F.col("least").alias("db"))
-    similar = near.join(x, "a").join(y, "b").select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"), "jaccard")
-    equal = table.select("doc_id", "node").join(sizes, "node").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return similar.unionByName(equal).where("doc_a <> doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    needed = need.join(lists.select("node", "size", "rows", "sigs"), "node")
+    near = written(pairs.groupBy("k").cogroup(needed.groupBy("block")).applyInPandas(_compare(threshold), "u bigint, v bigint, links bigint"), "near")
+    links = near.groupBy("u").agg(F.sum("links").alias("links"))
+    of = sizes.join(links, F.col("node") == F.col("u"), "left").drop("u").join(components(near.select("u", "v")), "node", "left")
+    of = of.select("node", F.coalesce("component", "node").alias("g"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of = written(of.where("n_links > 0"), "linked")
+    # the least id of a group is found with partial sums, so that a group of a third of all rows is no hot key
+    member = written(table.select("doc_id", "node").join(sized(of), "node", "left"), "members")
+    least = written(member.where("g IS NOT NULL").groupBy("g").agg(F.min("doc_id").alias("class_id")), "least")
+    out = member.join(sized(least), "g", "left")
+    return out.select("doc_id", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -43,14 +43,16 @@ def groups(pairs):
 
 
 def test_masks_cover_every_pair_within_the_radius():
-    for radius in (4, simhash.RADIUS // simhash.WORDS):
-        m = simhash.masks(radius)
-        assert len(m) == 2 ** (radius + 1) - 1 and np.bitwise_count(m).min() >= 20
-        rng = np.random.default_rng(0)
-        for _ in range(3000):
-            bits = rng.choice(64, rng.integers(1, radius + 1), replace=False)
-            d = np.uint64(sum(1 << int(b) for b in bits))
-            assert ((m & d) == 0).any()
+    every = simhash.tables(simhash.RADIUS)
+    assert len(every) == 186 and all(sum(int(x).bit_count() for x in m) >= 16 for _, m in every)
+    rng = np.random.default_rng(0)
+    ms = np.stack([m for _, m in every])
+    for radius in (simhash.RADIUS, 13):
+        ms = np.stack([m for _, m in simhash.tables(radius)])
+        for _ in range(2000):
+            bits = rng.choice(256, rng.integers(1, radius + 1), replace=False)
+            d = np.array([sum(1 << int(b) % 64 for b in bits if b // 64 == k) for k in range(4)], np.uint64)
+            assert ((ms & d) == 0).all(axis=1).any()
 
 
 M = (1 << 64) - 1
@@ -67,11 +69,11 @@ def plain_hash(word):
     return plain_mix(sum(plain_mix((b + 1) * base & M) * pow(base, i, M + 1) for i, b in enumerate(word.encode())) + 1 & M)
 
 
-def plain_code(text, power):
+def plain_code(text):
     """The code of a text, written anew: a set of the bits that are on."""
     total = [0] * 256
     for word, times in Counter(re.findall(r"[a-z0-9_]+", text.lower())).items():
-        weight, h = round(16 * times**power), plain_hash(word)
+        weight, h = round(16 * times**simhash.POWER), plain_hash(word)
         for k in range(4):
             bits = plain_mix(h + (k + 1) * 0x632BE59BD9B4E019 & M)
             for i in range(64):
@@ -80,9 +82,8 @@ def plain_code(text, power):
 
 
 def brute_groups(rows):
-    codes = {i: [plain_code(t, p) for p in simhash.POWERS] for i, t in rows if re.search("[a-z0-9_]", t.lower())}
-    near = lambda a, b: all(len(x ^ y) <= most for x, y, most in zip(codes[a], codes[b], (simhash.RADIUS, simhash.CONFIRM)))
-    return groups([(a, b) for a, b in itertools.combinations(codes, 2) if near(a, b)])
+    codes = {i: plain_code(t) for i, t in rows if re.search("[a-z0-9_]", t.lower())}
+    return groups([(a, b) for a, b in itertools.combinations(codes, 2) if len(codes[a] ^ codes[b]) <= simhash.RADIUS])
 
 
 def test_simhash_equals_all_pairs(docs):
@@ -93,30 +94,29 @@ def test_simhash_equals_all_pairs(docs):
 
 
 def planted_codes(seed=4):
-    """Codes in pairs at distances around the radius and the confirming limit, and a hundred close variants of one."""
+    """Codes in pairs at the radius or one beyond, and some hundred close variants of one."""
     rng = np.random.default_rng(seed)
-    bits = rng.integers(0, 2, (60, 512), dtype=np.uint8)
+    bits = rng.integers(0, 2, (60, 256), dtype=np.uint8)
     flipped = bits.copy()
     for k in range(60):
-        for lo, most in ((0, simhash.RADIUS + k % 2), (256, simhash.CONFIRM + (k % 3 == 0))):
-            flipped[k, lo + rng.choice(256, most, replace=False)] ^= 1
-    hot = np.repeat(bits[:1], 100, axis=0)
-    for k in range(100):
+        flipped[k, rng.choice(256, simhash.RADIUS + k % 2, replace=False)] ^= 1
+    hot = np.repeat(bits[:1], 150, axis=0)
+    for k in range(150):
         hot[k, rng.choice(64, 3, replace=False)] ^= 1
-    return np.packbits(np.r_[bits, flipped, hot], axis=1).view(np.int64)
+    return np.unique(np.packbits(np.r_[bits, flipped, hot], axis=1).view(np.int64), axis=0)
 
 
 def test_simhash_finds_every_pair_within_the_radius(spark, monkeypatch):
     codes = planted_codes()
-    table = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(codes)], ["node", *simhash.CODE])
-    pairs = [(i, j) for i, j in itertools.combinations(range(len(codes)), 2) if simhash.close(codes[i : i + 1], codes[j : j + 1], simhash.RADIUS, simhash.CONFIRM)[0]]
-    assert sum((k, k + 60) in pairs for k in range(60)) == 20 and len(pairs) > 4000
-    # as it is; with cells cut into blocks; with full buckets in tiles
-    for cell, most, tile in ((400_000, 20_000, 8192), (150, 50, 16)):
+    names = simhash.node_of(codes).tolist()
+    table = spark.createDataFrame([(n, *map(int, c)) for n, c in zip(names, codes)], ["node", *simhash.CODE])
+    d = np.bitwise_count(codes.view(np.uint64)[:, None] ^ codes.view(np.uint64)[None]).sum(axis=2)
+    pairs = [(names[i], names[j]) for i, j in itertools.combinations(range(len(codes)), 2) if d[i, j] <= simhash.RADIUS]
+    assert len(groups(pairs)) == 30 and len(pairs) > 4000
+    # as it is; and with cells cut into blocks and most buckets searched breadth first
+    for cell, small in ((100_000, 64), (60, 4)):
         monkeypatch.setattr(simhash, "CELL_ENTRIES", cell)
-        monkeypatch.setattr(simhash, "BUCKET_PAIRS", most)
-        monkeypatch.setattr(simhash, "TILE", tile)
-        monkeypatch.setattr(simhash, "block_of", lambda node, blocks: (node.view(np.uint64) % np.uint64(blocks)).astype(np.int64))
+        monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
         edges = [tuple(x) for x in simhash.near_edges(table).collect()]
         assert groups(edges) == groups(pairs)
 
@@ -144,55 +144,91 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-def sets_of(rows):
-    anchors, common = spotsigs.word_sets()
-    out = {}
-    for at, s in spotsigs.signatures(pa.array([(t or "").lower() for _, t in rows]), WordReader(), anchors, common):
-        for k, x in zip(at, s):
-            out.setdefault(rows[k][0], set()).add(int(x))
-    return out
+def classes(rows, linked):
+    """[(id, least id of its group, links)] of rows (id, value), by comparing all pairs of rows."""
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if linked(rows[i][1], rows[j][1])]
+    n = Counter(x for p in pairs for x in p)
+    of = {x: g for g in groups(pairs) for x in g}
+    ids = lambda g: [rows[x][0] for x in g if rows[x][0] is not None]
+    return sorted(((r[0], min(ids(of[k]), default=None) if k in of else r[0], n[k]) for k, r in enumerate(rows)), key=str)
+
+
+def plain_signatures(text):
+    """SpotSigs written anew, over words instead of hashes."""
+    words = re.findall(r"[\w]+", (text or "").lower())
+    content = [(k, w) for k, w in enumerate(words) if w not in spotsigs.COMMON]
+    out = set()
+    for k, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            after = [c for at, c in content if at > k][: spotsigs.CHAIN]
+            if len(after) == spotsigs.CHAIN:
+                out.add((w, *after))
+    return out or (tuple(words) or None)
 
 
 def test_spotsigs_equals_all_pairs(docs):
-    rows = copies(2)
-    sets = sets_of(rows)
+    rows = copies(2) + [(900, None), (901, ""), (902, "..."), (3, "an id that others have"), (None, "the cat sat here"), (None, "the cat sat here"), (903, "Один два три"), (904, "один, два три!"), (905, "word word"), (906, "word word word")]
+    sets = [(i, plain_signatures(t)) for i, t in rows]
     for threshold in (0.5, 0.8):
-        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
-        want = {k: v for k, v in want.items() if v >= threshold - 1e-12}
-        got = {(x["doc_a"], x["doc_b"]): x["jaccard"] for x in spotsigs.spotsigs(docs(rows), threshold).collect()}
-        least = {}
-        for a in sorted(sets):
-            least.setdefault(frozenset(sets[a]), a)
-        rep = {a: least[frozenset(sets[a])] for a in sets}
-        full = {k: v for k, v in want.items() if (rep[k[0]] == k[0] and rep[k[1]] == k[1]) or (v == 1.0 and rep[k[1]] == k[0])}
-        assert got.keys() == full.keys() and all(abs(got[k] - full[k]) < 1e-9 for k in got) and len(got) > 20
-
-
-def test_spotsigs_odd_rows(docs):
-    text = "the cat sat here and the dog ran there is another day"
-    rows = [(1, text), (2, text), (2, text), (3, None), (4, ""), (5, "nothing"), (None, text), (6, "The quick " * 50_000)]
-    assert [tuple(x) for x in spotsigs.spotsigs(docs(rows)).collect()] == [(1, 2, 1.0)]
-    assert spotsigs.spotsigs(docs([])).count() == 0
 
+        def linked(a, b):
+            if not a or not b or type(a) is not type(b):
+                return False
+            return a == b if isinstance(a, tuple) else len(a & b) / len(a | b) >= threshold - 1e-12
 
-def test_spotsigs_pairs_copies_without_signatures(docs):
-    rows = [(1, "Один два три"), (2, "один, два три!"), (3, "word word word"), (4, "word word"), (5, "..."), (6, "..."), (7, "word word word")]
-    assert sorted(tuple(x) for x in spotsigs.spotsigs(docs(rows)).collect()) == [(1, 2, 1.0), (3, 7, 1.0)]
+        got = sorted(map(tuple, spotsigs.spotsigs(docs(rows), threshold).collect()), key=str)
+        assert got == classes(sets, linked) and sum(n for _, _, n in got) > 40
+
+
+def test_spotsigs_odd_rows(docs, spark):
+    from pyspark.sql import functions as F
+
+    text = "the cat sat here and the dog ran there is another day"
+    rows = [(1, text), (2, text), (2, text), (3, None), (4, ""), (5, "nothing"), (None, text), (6, "The quick " * 50_000), (7, text + " the end of all")]
+    d = docs(rows).withColumn("node", F.lit("clash")).withColumn("size", F.lit(1)).withColumn("class_id", F.lit(0))
+    got = sorted(map(tuple, spotsigs.spotsigs(d).collect()), key=str)
+    assert got == sorted([(1, 1, 4), (2, 1, 4), (2, 1, 4), (3, 3, 0), (4, 4, 0), (5, 5, 0), (None, 1, 4), (6, 6, 0), (7, 1, 4)], key=str)
+    assert spotsigs.spotsigs(docs([])).count() == 0
+    assert [tuple(x) for x in spotsigs.spotsigs(docs([(1, "the lone wolf"), (2, None)])).orderBy("doc_id").collect()] == [(1, 1, 0), (2, 2, 0)]
 
 
-def test_embedding_search_recall_and_precision(spark):
+def vectors_with_partners():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 32))
     x[300:450] = x[:150] + rng.normal(scale=0.2, size=(150, 32)) * np.linalg.norm(x[:150], axis=1, keepdims=True) / 32**0.5
-    rows = [(i, [float(v) for v in e], "x") for i, e in enumerate(x)] + [(1000, None, "x"), (1001, [], "x"), (1002, [0.0] * 32, "x"), (1003, [float("nan")] * 32, "x"), (None, [1.0] * 32, "x"), (5, [float(v) for v in x[5]], "x"), (1004, [1.0, 2.0], "x")]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, list string")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    i, j = np.nonzero(np.triu(u @ u.T, 1) >= 0.95)
-    want = set(zip(i.tolist(), j.tolist()))
-    exact = {(a, b) for a, b, _ in pq.near_embeddings(df, margin=10.0).collect()}
-    got = {(a, b) for a, b, _ in pq.near_embeddings(df).collect()}
-    assert len(want) > 50 and exact == want and got == want
+    x[450:520] = x[450] + rng.normal(scale=0.02, size=(70, 32))
+    return [(i, [float(v) for v in e.astype(np.float32)]) for i, e in enumerate(x)] + [(600 + i, [float(v) for v in x[7].astype(np.float32)]) for i in range(5)]
+
+
+def test_embedding_search_equals_all_pairs(spark, monkeypatch):
+    rows = vectors_with_partners()
+    rows += [(1000, None), (1001, []), (1002, [0.0] * 32), (1003, [float("nan")] * 32), (None, [1.0] * 32), (None, [1.0] * 32), (5, rows[5][1]), (1004, [1.0, 2.0]), (1004, [1.0, 2.0])]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "vec_id bigint, embedding array<float>, list string, node int, class_id string")
+    ok = [(i, np.array(e) / np.linalg.norm(e) if e and len(e) == 32 and np.isfinite(e).all() and any(e) else None) for i, e in rows]
+    want = classes(ok, lambda a, b: a is not None and b is not None and a @ b >= 0.95)
+    assert sum(n for _, _, n in want) > 5000
+    for residents, codes, per_list in ((4096, 1 << 17, 64), (4, 50, 20)):
+        monkeypatch.setattr(pq, "RESIDENTS", residents)
+        monkeypatch.setattr(pq, "CODES", codes)
+        monkeypatch.setattr(pq, "PER_LIST", per_list)
+        assert sorted(map(tuple, pq.near_embeddings(df).collect()), key=str) == want
     assert pq.near_embeddings(df.limit(0)).count() == 0
+    assert [tuple(x) for x in pq.near_embeddings(df.where("vec_id = 1")).collect()] == [(1, 1, 0)]
+    assert [tuple(x) for x in pq.near_embeddings(df.where("vec_id = 1000")).collect()] == [(1000, 1000, 0)]
+
+
+def test_embedding_search_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = vectors_with_partners()
+    frame = pd.DataFrame({"vec_id": [i for i, _ in rows], "embedding": [np.array(e, np.float32) for _, e in rows]})
+    con = duckdb.connect()
+    con.register("frame", frame)
+    con.execute("CREATE TABLE embeddings AS SELECT vec_id, embedding::FLOAT[] AS embedding FROM frame")
+    want = con.execute(f"SELECT vec_id, class_id, n_links FROM ({pq.sql()}) ORDER BY 1").fetchall()
+    got = sorted(map(tuple, pq.near_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()))
+    assert got == want and sum(n > 0 for *_, n in got) > 200
 
 
 def test_pipeline_stages(docs, spark, tmp_path):
