@@ -32,12 +32,13 @@ LEVELS, LEAST = 5, 25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "length", "commas", "links", "weight", "points")
+    __slots__ = ("tag", "parent", "items", "length", "commas", "links", "weight", "points", "most")
 
     def __init__(self, tag: str, parent: Node | None, names: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
         self.length = self.commas = self.links = 0
         self.points: float | None = None
+        self.most = 0.0
         self.weight = (-25 if BAD.search(names) else 0) + (25 if GOOD.search(names) else 0) if names else 0
 
     def density(self) -> float:
@@ -48,24 +49,24 @@ def parse(text: str) -> tuple[Node, str]:
     """The tree, with lengths, commas and link lengths of whole subtrees, and the title. Unclosed tags end with their parents."""
     root, title = Node("#root", None), ""
     stack, at, n = [root], 0, len(text)
-    open_tags: dict[str, int] = {}  # counts of what is open, so that a stray end tag needs no search
+    open_tags: dict[str, list[int]] = {}  # where on the stack each tag is open: no search is as long as the page is deep
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             node = stack.pop()
-            open_tags[node.tag] -= 1
+            open_tags[node.tag].pop()
             parent = stack[-1]
             parent.length += node.length
             parent.commas += node.commas
             parent.links += node.length if node.tag == "a" else node.links
 
+    def innermost(tags: set[str]) -> int:
+        return max((open_tags[t][-1] for t in tags if open_tags.get(t)), default=0)
+
     def find_open(tags: set[str], fence: set[str]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in fence:
-                return 0
-        return 0
+        """The innermost open one of tags, 0 if a fence lies further in."""
+        k = innermost(tags)
+        return k if k > innermost(fence - tags) else 0
 
     def add(piece: str) -> None:
         if piece and not piece.isspace():
@@ -118,7 +119,7 @@ def parse(text: str) -> tuple[Node, str]:
         stack[-1].items.append(node)
         if tag not in VOID and not text.startswith("/>", end - 1):
             stack.append(node)
-            open_tags[tag] = open_tags.get(tag, 0) + 1
+            open_tags.setdefault(tag, []).append(len(stack) - 1)
     close(1)
     return root, title
 
@@ -182,12 +183,21 @@ def kept_siblings(top: Node, score: float) -> list[Node]:
     return out
 
 
+def note_most(root: Node) -> None:
+    """most of every form and header: the greatest score in its subtree, 0 at least."""
+    order = list(nodes_of(root))
+    for x in reversed(order):  # children come after their parents
+        if x.points is not None:
+            x.most = max(x.most, x.points)
+        if x.parent is not None:
+            x.parent.most = max(x.parent.most, x.most)
+
+
 def worthless(node: Node) -> bool:
     """A form or header that is mostly links, or whose score (where it lies too far above its paragraphs to have one, those of all nodes in it) isn't positive."""
     if node.tag not in DOUBTFUL:
         return False
-    points = [node.points] if node.points is not None else [x.points for x in nodes_of(node) if x.points is not None]
-    return node.density() >= 0.5 or max(points, default=0.0) <= 0
+    return node.density() >= 0.5 or (node.most if node.points is None else node.points) <= 0
 
 
 def text_of(nodes: list[Node], doubtful: bool = False) -> str:
@@ -202,13 +212,14 @@ def text_of(nodes: list[Node], doubtful: bool = False) -> str:
         line.clear()
 
     todo: list = list(reversed(nodes))
+    chosen = {id(x) for x in nodes}
     while todo:
         x = todo.pop()
         if x is None:
             end_line()
         elif isinstance(x, str):
             line.append(x)
-        elif x.tag in OUT or x not in nodes and (x.weight < 0 or not doubtful and worthless(x)):
+        elif x.tag in OUT or id(x) not in chosen and (x.weight < 0 or not doubtful and worthless(x)):
             continue
         elif x.tag == "br":
             end_line()
@@ -228,6 +239,7 @@ def extract(text: str | None) -> tuple[str | None, str | None, float | None]:
         return None, None, None
     root, title = parse(text)
     top, score, _ = best(root)
+    note_most(root)
     nodes = kept_siblings(top, score) if top else [root]
     return title, text_of(nodes) or text_of(nodes, doubtful=True), round(float(score), 6)
 
@@ -240,5 +252,9 @@ def _pages(batches):
 
 
 def html_extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, text, score) of every page. Null html gives nulls, empty html empty text and score 0; repeated rows repeat; other columns are ignored."""
+    """(page_id, url, title, text, score) of every page.
+
+    Null html gives nulls, empty html empty text and score 0; repeated rows repeat; rows with null ids are rows like others; other columns are ignored. Long and deep pages are read whole, in
+    time that grows as their length. Of containers with equal scores the one whose first paragraph comes first wins.
+    """
     return pages.select("page_id", "url", "html").mapInArrow(_pages, "page_id bigint, url string, title string, text string, score double")

@@ -26,7 +26,8 @@ def folded() -> np.ndarray:
 
 
 def grams(column: pa.Array, table: np.ndarray, chunk: int = 1 << 20):
-    """For chunks of whole lower-case texts: (first row, offsets, bucket of the three bytes from each place; BUCKETS where they are all blank or leave the text)."""
+    """For chunks of lower-case texts: (first row, offsets, bucket of the three bytes from each place; BUCKETS where they are all blank or leave the text). A text
+    longer than chunk comes in pieces, all with its row."""
     column = column.cast(pa.large_string())
     n = len(column)
     if not n:
@@ -34,35 +35,45 @@ def grams(column: pa.Array, table: np.ndarray, chunk: int = 1 << 20):
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
-    lo = 0
-    while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, side="right")) - 1))
-        b = np.r_[table[data[offsets[lo] : offsets[hi]]], np.uint32(32), np.uint32(32)]
+
+    def buckets(begin: int, end: int, upto: int) -> np.ndarray:
+        """Of the places from begin to end in a run of bytes that ends at upto."""
+        b = np.r_[table[data[begin : min(end + 2, upto)]], np.full(max(0, end + 2 - upto), 32, np.uint32)]
         x = b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))
         h = ((x * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
         h[x == 0x202020] = BUCKETS
-        off = offsets[lo : hi + 1] - offsets[lo]
-        ends = np.concatenate([off[1:] - 1, off[1:] - 2])
-        h[ends[(ends >= 0) & (ends < len(h))]] = BUCKETS  # they would reach into the next text
-        yield lo, off, h
+        return h
+
+    lo = 0
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, side="right")) - 1))
+        begin, upto = int(offsets[lo]), int(offsets[hi])
+        for at in range(begin, max(upto, begin + 1), chunk):
+            end = min(upto, at + chunk)
+            h = buckets(at, end, upto)
+            off = np.clip(offsets[lo : hi + 1] - at, 0, end - at)
+            ends = np.concatenate([offsets[lo + 1 : hi + 1] - at - 1, offsets[lo + 1 : hi + 1] - at - 2])
+            h[ends[(ends >= 0) & (ends < len(h))]] = BUCKETS  # they would reach into the next text
+            yield lo, off, h
         lo = hi
 
 
 def sums_by_row(off: np.ndarray, values: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=total[1:])
+    total = np.zeros(len(values) + 1)
+    np.cumsum(values, out=total[1:])
     return total[off[1:]] - total[off[:-1]]
 
 
 def _vectors(batches):
     table = folded()
     for b in batches:
-        rows = []
-        for _, off, h in grams(b.column(1), table):
-            for i, j in zip(off[:-1], off[1:]):
-                rows.append(np.bincount(h[i:j], minlength=BUCKETS + 1)[:BUCKETS].astype(np.float32).tobytes())
-        rows += [np.zeros(BUCKETS, np.float32).tobytes()] * (b.num_rows - len(rows))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["lang", "v"])
+        rows = {}
+        for lo, off, h in grams(b.column(1), table):
+            for k, (i, j) in enumerate(zip(off[:-1], off[1:]), lo):
+                counts = np.bincount(h[i:j], minlength=BUCKETS + 1)[:BUCKETS].astype(np.float32)
+                rows[k] = rows[k] + counts if k in rows else counts
+        none = np.zeros(BUCKETS, np.float32)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rows.get(k, none).tobytes() for k in range(b.num_rows)], pa.binary())], names=["lang", "v"])
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 30, seed: int = 0) -> np.ndarray:
@@ -107,52 +118,64 @@ def model(docs: DataFrame, families: dict[str, str], max_per_language: int, seed
     return out
 
 
-def decide(scores: np.ndarray, fitted: dict) -> list[tuple[str, str, float]]:
-    """Family and language of each row of classifier scores; margin is the least of the margins on the way. Ties go to the first name."""
+def decide(scores: np.ndarray, fitted: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Families, languages and margins of the rows of classifier scores; margin is the least of the margins on the way. Ties go to the first name."""
     names = fitted["families"]
-    column = {(k, a, b): i for i, (k, a, b, _) in enumerate(fitted["weights"])}
-    out = []
-    for s in scores:
-        margin = float("inf")
-        if len(names) == 1:
-            f = names[0]
-        elif len(names) == 2:
-            v = s[column["family", names[0], ""]]
-            f, margin = names[0 if v >= 0 else 1], abs(v)
-        else:
-            v = [s[column["family", n, ""]] for n in names]
-            k = int(np.argmax(v))
-            f, margin = names[k], v[k] - sorted(v)[-2]
-        langs = fitted["of"][f]
-        votes = dict.fromkeys(langs, 0)
-        strength = dict.fromkeys(langs, 0.0)
+    column = {(k, a, b): scores[:, i] for i, (k, a, b, _) in enumerate(fitted["weights"])}
+    margin = np.full(len(scores), np.inf)
+    if len(names) == 1:
+        family = np.zeros(len(scores), np.int64)
+    elif len(names) == 2:
+        v = column["family", names[0], ""]
+        family, margin = (v < 0).astype(np.int64), np.abs(v)
+    else:
+        v = np.stack([column["family", n, ""] for n in names], axis=1)
+        family = v.argmax(1)
+        two = np.partition(v, -2, axis=1)[:, -2:]
+        margin = two[:, 1] - two[:, 0]
+    language = np.full(len(scores), "", object)
+    for f, name in enumerate(names):
+        at = np.flatnonzero(family == f)
+        langs = fitted["of"][name]
+        votes, strength = np.zeros((len(langs), len(at))), np.zeros((len(langs), len(at)))
+        gap = np.full((len(langs), len(langs), len(at)), np.inf)
         for i, a in enumerate(langs):
-            for b in langs[i + 1 :]:
-                v = s[column["pair", a, b]]
-                votes[a if v >= 0 else b] += 1
-                strength[a] += v
-                strength[b] -= v
-        best = max(langs, key=lambda k: (votes[k], strength[k]))
-        others = [abs(s[column["pair", *sorted((best, k))]]) for k in langs if k != best]
-        margin = min([margin, *others])
-        out.append((f, best, 0.0 if margin == float("inf") else round(float(margin), 6)))
-    return out
+            for j in range(i + 1, len(langs)):
+                v = column["pair", a, langs[j]][at]
+                votes[i] += v >= 0
+                votes[j] += v < 0
+                strength[i] += v
+                strength[j] -= v
+                gap[i, j] = gap[j, i] = np.abs(v)
+        best = np.zeros(len(at), np.int64)
+        rows = np.arange(len(at))
+        for k in range(1, len(langs)):
+            more = (votes[k] > votes[best, rows]) | ((votes[k] == votes[best, rows]) & (strength[k] > strength[best, rows]))
+            best[more] = k
+        language[at] = np.array(langs, object)[best]
+        margin[at] = np.minimum(margin[at], gap[best, :, rows].min(axis=1) if len(at) else np.empty(0))
+    return np.array(names, object)[family], language, np.where(np.isinf(margin), 0.0, np.round(margin, 6))
 
 
 def _predict(fitted: dict):
-    weights = np.stack([w for *_, w in fitted["weights"]], axis=1) if fitted["weights"] else np.zeros((BUCKETS + 1, 0))
-    by_bucket = np.r_[weights[:BUCKETS] * SCALE, np.zeros((1, weights.shape[1]))]
+    weights = [w for *_, w in fitted["weights"]]
+    by_bucket = [np.r_[w[:BUCKETS] * SCALE, 0.0] for w in weights]
 
     def run(batches):
         table = folded()
         for b in batches:
-            rows: list = []
-            for _, off, h in grams(b.column(1), table):
-                n = sums_by_row(off, (h < BUCKETS).astype(np.int64))
-                s = sums_by_row(off, by_bucket[h]) / np.maximum(n, 1)[:, None] + weights[BUCKETS]
-                rows += [d if k and fitted["families"] else ("und", "und", 0.0) for d, k in zip(decide(s, fitted) if fitted["families"] else n, n)]
-            rows += [("und", "und", 0.0)] * (b.num_rows - len(rows))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.string()), (2, pa.float64())))], names=["doc_id", "family", "language", "margin"])
+            n, s = np.zeros(b.num_rows), np.zeros((b.num_rows, len(weights)))
+            for lo, off, h in grams(b.column(1), table):
+                rows = slice(lo, lo + len(off) - 1)
+                n[rows] += sums_by_row(off, h < BUCKETS)
+                for k, w in enumerate(by_bucket):
+                    s[rows, k] += sums_by_row(off, w[h])
+            s = s / np.maximum(n, 1)[:, None] + np.array([w[BUCKETS] for w in weights])
+            family, language, margin = (np.full(b.num_rows, "und", object), np.full(b.num_rows, "und", object), np.zeros(b.num_rows))
+            some = np.flatnonzero(n > 0)
+            if fitted["families"] and len(some):
+                family[some], language[some], margin[some] = decide(s[some], fitted)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(family, pa.string()), pa.array(language, pa.string()), pa.array(margin)], names=["doc_id", "family", "language", "margin"])
 
     return run
 
@@ -162,7 +185,7 @@ def language_id(docs: DataFrame, *, families: dict[str, str] | None = None, max_
 
     Features are frequencies of three-byte windows of the lower-case text. Texts without such a window (null, empty, under three bytes,
     marks alone) are "und" with margin 0; so is everything if no row has a label. A label outside families is a family of its own. Rows with a
-    null id are classified, not fitted on. Repeated rows repeat. Other columns are ignored. max_per_language bounds the rows fitted on.
+    null id are classified, not fitted on. Repeated rows repeat. Ties go to the first name. Long texts are read in pieces, whose sums add up. Other columns are ignored. max_per_language bounds the labelled rows fitted on.
     """
     fitted = model(docs, FAMILIES if families is None else families, max_per_language, seed)
     return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_predict(fitted), "doc_id bigint, family string, language string, margin double")

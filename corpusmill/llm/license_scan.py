@@ -7,13 +7,14 @@ out shift them), and spans with enough votes are verified word by word. Only mat
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import sized, written
+from .common import BROADCAST_ROWS, sized, written
 from .license_templates import TEMPLATES
 
 K = 3
@@ -62,9 +63,17 @@ def similarity(window: list[str], template: list[str]) -> tuple[float, int, int]
 
 def best_spans(found: list[tuple]) -> list[tuple]:
     """Of (template, start, n_words, votes, similarity) those that no better one overlaps: the more similar, then the longer, then the first by name."""
+    starts: list[int] = []
+    ends: dict[int, int] = {}
     kept: list[tuple] = []
     for x in sorted(found, key=lambda x: (-x[4], -x[2], x[0], x[1])):
-        if all(x[1] >= k[1] + k[2] or k[1] >= x[1] + x[2] for k in kept):
+        # what is kept doesn't overlap: only the neighbours can be in the way
+        k = bisect.bisect_left(starts, x[1])
+        before = k > 0 and ends[starts[k - 1]] > x[1]
+        after = k < len(starts) and starts[k] < max(x[1] + x[2], x[1] + 1)
+        if not before and not after:
+            starts.insert(k, x[1])
+            ends[x[1]] = x[1] + x[2]
             kept.append(x)
     return sorted(kept, key=lambda x: (x[1], x[0]))
 
@@ -91,7 +100,7 @@ def license_scan(docs: DataFrame, *, templates: dict[str, str] | None = None, le
     Words are runs of a-z and 0-9 of the lower-case text, start counts them. A span needs votes from least_votes of the template's windows,
     and at most 1 - least_similarity edits a template word. Where spans overlap, the more similar stays, then the longer, then the first by name.
     Null and short texts have no spans. Rows equal in doc_id and text are reported once; a null doc_id is reported as null.
-    Templates under K words are an error. Other columns are ignored.
+    Long texts are scanned whole. Templates under K words are an error. Other columns are ignored.
     """
     spark = docs.sparkSession
     of = {k: words(v) for k, v in (TEMPLATES if templates is None else templates).items()}
@@ -102,10 +111,11 @@ def license_scan(docs: DataFrame, *, templates: dict[str, str] | None = None, le
     doc = docs.select("doc_id", F.xxhash64("text").alias("t"), jvm_words(F.col("text")).alias("w"))
     # outer: else a filter on the size of the array is inferred and pushed to the scan, where w is computed again for each window; the join drops nulls
     grams = doc.select("doc_id", "t", F.posexplode_outer(F.expr(window_hashes("w"))).alias("pos", "h"))
-    # the templates' size is fixed: it doesn't grow with the documents
-    hits = grams.join(F.broadcast(places), "h").select("doc_id", "t", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
+    # templates don't grow with the documents; a caller's large set is joined by shuffle
+    small_enough = F.broadcast if sum(len(w) for w in of.values()) <= BROADCAST_ROWS else (lambda df: df)
+    hits = grams.join(small_enough(places), "h").select("doc_id", "t", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos")
     votes = hits.groupBy("doc_id", "t", "template", "diagonal").agg(F.count_distinct("tpos").alias("votes"))
-    small = F.broadcast(t.select("template", "n", "shift"))
+    small = small_enough(t.select("template", "n", "shift"))
     by = Window.partitionBy("doc_id", "t", "template").orderBy("diagonal")
     merged = (
         votes.join(small, "template")
