@@ -1,12 +1,11 @@
 """SimHash near-dedup by covering locality-sensitive hashing (Pagh 2016).
 
-A document's code has 256 bits, cut into WORDS words. Codes within RADIUS bits have a word in which they differ in at most RADIUS // WORDS bits, and structured
+A document's code has 256 bits, cut into WORDS words of 42 or 43 bits. Codes within RADIUS bits have a word in which they differ in at most (RADIUS + 1) // WORDS - 1 bits, and structured
 masks of each word guarantee that two such words are equal under one of them: every pair within the radius collides in some
-table, without exception. A table's entry is a word and a node's number; what collides is first compared by that word, then by whole codes.
-Long texts draw near each other as their frequent words do, so a second code, which weighs these less, confirms.
+table, without exception. What collides is compared by whole codes where it meets.
 
-Only distinct codes take part. Entries travel packed, 16 bytes each, to groups of bounded size: cells of keys with more entries are cut into blocks, and each two blocks meet. A
-bucket that yields too many pairs goes on to tiles with its codes, and each tile gives a spanning forest instead of all its pairs.
+Only distinct codes take part. They travel packed, 32 bytes each, once a table, to groups of bounded size: cells of keys with more codes are cut into blocks, and each two blocks meet. Of
+each group a spanning forest of its near pairs is left, for which near copies of one document are compared once each; so no group of copies is written or compared as all its pairs.
 """
 
 from __future__ import annotations
@@ -22,20 +21,19 @@ from .common import sized, written
 from .components import components
 from .wordhash import WordReader, mix
 
-WORDS, RADIUS, CONFIRM = 4, 23, 40
-#: Powers of a word's count that are its weight in the covered and in the confirming code.
-POWERS = (0.85, 0.5)
-CELL_ENTRIES = 400_000
-#: A bucket with more pairs than this is compared in tiles of so many codes.
-BUCKET_PAIRS, TILE = 20_000, 8192
-PAIRS_A_BLOCK = 200_000
+BITS, WORDS, RADIUS = 256, 6, 29
+#: A word of the text weighs its count to this power: near copies stay within the radius, and texts that share frequent words alone stay out of it.
+POWER = 0.6
+CELL_ENTRIES = 100_000
+#: Buckets of more codes are searched breadth first instead of by all pairs.
+SMALL_BUCKET = 64
 PAIR_BLOCK = 1 << 15
-CODE = [f"{k}{i}" for k in "cd" for i in range(WORDS)]
+CODE = [f"c{i}" for i in range(BITS // 64)]
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
-    """(words, 256) of 0 and 1: the bits of each word's hash, mixed once for each word of the code."""
-    bits = np.stack([mix(hashes + np.uint64((k + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) for k in range(WORDS)], axis=1)
+    """(words, 256) of 0 and 1: the bits of each word's hash, mixed once for each 64 bits of the code."""
+    bits = np.stack([mix(hashes + np.uint64((k + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) for k in range(len(CODE))], axis=1)
     return np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(hashes), -1), axis=1)
 
 
@@ -47,7 +45,7 @@ def _counted(c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def text_codes(column: pa.Array, reader: WordReader) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that have a word, their two codes): each distinct word adds or takes round(16 * times ** power) at each of 256 bits."""
+    """(rows that have a word, their codes): each distinct word adds or takes round(16 * times ** POWER) at each of 256 bits."""
     rows, codes = [], []
     for doc, word, times in reader.read(column, _counted):
         if not len(doc):
@@ -56,86 +54,106 @@ def text_codes(column: pa.Array, reader: WordReader) -> tuple[np.ndarray, np.nda
         doc, word, times = doc[order], word[order], times[order]
         new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])
         doc, word, times = doc[new], word[new], np.add.reduceat(times, new)  # pieces of a long text share words
-        weight = np.stack([np.rint(16 * times.astype(float) ** p) for p in POWERS]).astype(np.float32)
+        weight = np.rint(16 * times.astype(float) ** POWER).astype(np.float32)
         docs, index = np.unique(doc, return_inverse=True)
-        total = np.zeros((len(docs), len(POWERS), 64 * WORDS), np.float64)
+        total = np.zeros((len(docs), BITS), np.float64)
         for lo in range(0, len(doc), PAIR_BLOCK):
             part = slice(lo, lo + PAIR_BLOCK)
-            w, i, on = weight[:, part], index[part], signs(word[part]).astype(np.float32)
+            w, i, on = weight[part], index[part], signs(word[part]).astype(np.float32)
             cuts = [*np.flatnonzero(np.r_[True, i[1:] != i[:-1]]), len(i)]
             for lo_, hi_ in zip(cuts, cuts[1:]):
                 # a bit of 0 takes what a bit of 1 adds: twice the ones less all
-                total[i[lo_]] += 2 * (w[:, lo_:hi_] @ on[lo_:hi_]) - w[:, lo_:hi_].sum(axis=1, keepdims=True)
+                total[i[lo_]] += 2 * (w[lo_:hi_] @ on[lo_:hi_]) - w[lo_:hi_].sum()
         rows.append(docs)
-        codes.append(np.packbits(total > 0, axis=2).reshape(len(docs), -1).view(np.int64))
+        codes.append(np.packbits(total > 0, axis=1).view(np.int64))
     if not rows:
         return np.empty(0, np.int64), np.empty((0, len(CODE)), np.int64)
     return np.concatenate(rows), np.concatenate(codes)
 
 
+def node_of(codes: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for each code."""
+    out = np.zeros(len(codes), np.uint64)
+    for k in range(codes.shape[1]):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + codes[:, k].view(np.uint64) + np.uint64(k + 1))
+    return out.view(np.int64)
+
+
 def _codes(batches):
     reader = WordReader()
     for b in batches:
         rows, codes = text_codes(b.column(1), reader)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *(pa.array(codes[:, k].copy()) for k in range(len(CODE)))], names=["doc_id", *CODE])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(node_of(codes)), *(pa.array(codes[:, k].copy()) for k in range(len(CODE)))], names=["doc_id", "node", *CODE])
 
 
-def masks(radius: int, bits: int = 64) -> np.ndarray:
-    """2 ** (radius + 1) - 1 masks of one word: words within radius are equal under some mask. Bit i has a nonzero vector of radius + 1 bits, a mask v keeps the bits
+def masks(radius: int, bits: int) -> list[int]:
+    """2 ** (radius + 1) - 1 masks of bits: words within radius are equal under some mask. Bit i has a nonzero vector of radius + 1 bits, a mask v keeps the bits
     whose vector has an odd product with v; up to radius differing bits leave some v orthogonal to all their vectors. Vectors are spread over all there are."""
     n = (1 << (radius + 1)) - 1
-    order = np.random.default_rng(5).permutation(n)
-    vectors = 1 + order[np.arange(bits) % n]
-    return np.array([sum(1 << i for i in range(bits) if bin(int(vectors[i]) & v).count("1") % 2) for v in range(1, n + 1)], np.uint64)
+    vectors = 1 + np.random.default_rng(5).permutation(n)[np.arange(bits) % n]
+    return [sum(1 << i for i in range(bits) if bin(int(vectors[i]) & v).count("1") % 2) for v in range(1, n + 1)]
+
+
+def tables(radius: int) -> list[tuple[int, np.ndarray]]:
+    """(word, mask of the whole code as numbers of 64 bits) of every table. The words' radii and one each add up to radius + 1, so that a pair within it keeps to the radius of one word."""
+    out = []
+    ends = [BITS * k // WORDS for k in range(WORDS + 1)]
+    for w in range(WORDS):
+        share = (radius + 1) // WORDS + (w < (radius + 1) % WORDS)
+        if share:
+            for m in masks(share - 1, ends[w + 1] - ends[w]):
+                whole = m << ends[w]
+                out.append((w, np.array([whole >> 64 * k & (1 << 64) - 1 for k in range(len(CODE))], np.uint64)))
+    return out
 
 
-def tables(radius: int) -> list[tuple[int, int, np.uint64]]:
-    """(word, mask's number in it, mask) of every table."""
-    ms = masks(radius // WORDS)
-    return [(w, v, m) for w in range(WORDS) for v, m in enumerate(ms)]
+def key_of(codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """codes (n, 4) as unsigned numbers."""
+    out = np.ones(len(codes), np.uint64)
+    for k in np.flatnonzero(mask):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + (codes[:, k] & mask[k]))
+    return out
 
 
-def key_of(word: np.ndarray, mask: np.uint64) -> np.ndarray:
-    return mix((word & mask) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+def codes_of(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(CODE))], axis=1).view(np.uint64) if b.num_rows else np.empty((0, len(CODE)), np.uint64)
 
 
-def codes_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes, and the words of the covered code."""
-    return b.column(0).to_numpy(zero_copy_only=False), np.stack([b.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)], axis=1)
+def cell_of(key: np.ndarray, cells: int) -> np.ndarray:
+    return ((key >> np.uint64(24)) % np.uint64(cells)).astype(np.int64)
 
 
 def _cells(radius: int, cells: int):
     def run(batches):
-        """Entries of each cell of each table."""
+        """How many codes each cell of each table has."""
         every = tables(radius)
         n = np.zeros((len(every), cells), np.int64)
         for b in batches:
-            _, words = codes_of(b)
-            for t, (w, _, m) in enumerate(every):
-                n[t] += np.bincount((key_of(words[:, w], m) % np.uint64(cells)).astype(np.int64), minlength=cells)
+            codes = codes_of(b)
+            for t, (_, m) in enumerate(every):
+                n[t] += np.bincount(cell_of(key_of(codes, m), cells), minlength=cells)
         t, c = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(n[t, c])], names=["t", "c", "n"])
 
     return run
 
 
-def block_of(node: np.ndarray, blocks: int) -> np.ndarray:
-    return ((node.view(np.uint64) >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+def block_of(codes: np.ndarray, blocks: int) -> np.ndarray:
+    return ((node_of(codes).view(np.uint64) >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
 
 
 def _pack(radius: int, cells: int, hot: dict[tuple[int, int], int]):
-    """(t, c, i, j, word, node), packed, for all tables: cells with several blocks send each entry to every pair of blocks that it is in."""
+    """(t, c, i, j, codes), packed, for all tables: cells with several blocks send each code to every pair of blocks that it is in."""
 
     def run(batches):
         every = tables(radius)
         for b in batches:
-            node, words = codes_of(b)
-            if not len(node):
+            codes = codes_of(b)
+            if not len(codes):
                 continue
-            out: list[tuple] = []
-            for t, (w, _, m) in enumerate(every):
-                word = words[:, w]
-                cell = (key_of(word, m) % np.uint64(cells)).astype(np.int64)
+            for t, (_, m) in enumerate(every):
+                out: list[tuple] = []
+                cell = cell_of(key_of(codes, m), cells)
                 order = np.argsort(cell, kind="stable") if cells > 1 else np.arange(len(cell))
                 cuts = [*np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0]), len(order)]
                 for lo, hi in zip(cuts, cuts[1:]):
@@ -143,88 +161,60 @@ def _pack(radius: int, cells: int, hot: dict[tuple[int, int], int]):
                     c = int(cell[at[0]])
                     blocks = hot.get((t, c), 1)
                     if blocks == 1:
-                        out.append((t, c, 0, 0, word[at].tobytes(), node[at].tobytes()))
+                        out.append((c, 0, 0, codes[at].tobytes()))
                         continue
-                    own = block_of(node[at], blocks)
+                    own = block_of(codes[at], blocks)
                     for i in np.unique(own).tolist():
-                        x = at[own == i]
-                        for j in range(blocks):
-                            out.append((t, c, min(i, j), max(i, j), word[x].tobytes(), node[x].tobytes()))
-            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(),) * 4 + (pa.binary(),) * 2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["t", "c", "i", "j", "word", "node"])
+                        packed = codes[at[own == i]].tobytes()
+                        out += [(c, min(i, j), max(i, j), packed) for j in range(blocks)]
+                cols = [pa.array([t] * len(out), pa.int32()), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(),) * 3 + (pa.binary(),)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["t", "c", "i", "j", "code"])
 
     return run
 
 
-PACKED = "t int, c int, i int, j int, word binary, node binary"
-MET = "a bigint, b bigint, tiled boolean"
+PACKED = "t int, c int, i int, j int, code binary"
 
 
-def collisions(word: np.ndarray, cuts: np.ndarray, rows: int = 1 << 21):
-    """Places (i, j), i < j, of all pairs within each run of word that cuts begin, in parts."""
-    size = np.diff(np.r_[cuts, len(word)])
-    n = np.repeat(size, size) - 1 - (np.arange(len(word)) - np.repeat(cuts, size))
-    upto = np.cumsum(n)
+def collisions(n: int, cuts: np.ndarray, rows: int = 1 << 20):
+    """Places (i, j), i < j, of all pairs within each run of n places that cuts begin, in parts."""
+    size = np.diff(np.r_[cuts, n])
+    after = np.repeat(size, size) - 1 - (np.arange(n) - np.repeat(cuts, size))
+    upto = np.cumsum(after)
     lo = 0
-    while lo < len(n):
+    while lo < n:
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + rows, side="right")))
-        k = n[lo:hi]
+        k = after[lo:hi]
         i = np.repeat(np.arange(lo, hi), k)
         yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
         lo = hi
 
 
-def first_met(diff: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    """Whether no earlier mask of the word brings words with these differences together."""
-    out = np.ones(len(diff), bool)
-    for m in earlier:
-        out &= (diff & m) != 0
-    return out
-
+def within(columns: list[np.ndarray], i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs are within radius; codes are given by columns, and most pairs are out after the first ones."""
+    left = np.arange(len(i))
+    d = np.zeros(len(i), np.uint16)
+    for c in columns:
+        d = d + np.bitwise_count(c[i[left]] ^ c[j[left]])
+        ok = d <= radius
+        left, d = left[ok], d[ok]
+    return left
 
-def _meet(radius: int, hot: dict[tuple[int, int], int]):
-    near = radius // WORDS
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs (a, b) of nodes that collide in this table, whose words are within reach and that no earlier table of the word brings together;
-        of buckets with too many of them the nodes instead: (bucket, node), tiled."""
-        t, c, i_block, j_block = map(int, key)
-        every = tables(radius)
-        w, v, mask = every[t]
-        earlier = np.array([m for x, u, m in every if x == w and u < v], np.uint64)
-        word, node = (np.frombuffer(b"".join(pdf[x]), kind) for x, kind in (("word", np.uint64), ("node", np.int64)))
-        k = key_of(word, mask)
-        order = np.argsort(k)
-        size = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(k[order]) != 0]), len(k)])
-        order = order[np.repeat(size > 1, size)]  # most buckets have one entry
-        word, node, k = word[order], node[order], k[order]
-        size = size[size > 1]
-        bucket = np.repeat(np.arange(len(size)), size)
-        own = block_of(node, hot.get((t, c), 1))
-        count = np.where(size > TILE, BUCKET_PAIRS + 1, 0)  # too many to count their pairs
-        some = np.flatnonzero(size[bucket] <= TILE)
-        out = []
-        for i, j in collisions(word[some], np.flatnonzero(np.r_[True, np.diff(bucket[some]) != 0]) if len(some) else some):
-            i, j = some[i], some[j]
-            diff = word[i] ^ word[j]
-            ok = np.bitwise_count(diff) <= near
-            if i_block != j_block:
-                ok &= own[i] != own[j]
-            ok = np.flatnonzero(ok)
-            ok = ok[first_met(diff[ok], earlier)]
-            count += np.bincount(bucket[i[ok]], minlength=len(size))
-            ok = ok[count[bucket[i[ok]]] <= BUCKET_PAIRS]
-            out.append((i[ok], j[ok]))
-        i, j = (np.concatenate([x[q] for x in out]) if out else np.empty(0, np.int64) for q in (0, 1))
-        full = count > BUCKET_PAIRS
-        kept = ~full[bucket[i]]
-        a, b = node[i[kept]], node[j[kept]]
-        tiled = full[bucket]
-        # a bucket's number is its key under the table: the same in all groups that hold a part of it
-        name = mix(k[tiled] + np.uint64(t + 1)).view(np.int64)
-        return pd.DataFrame({"a": np.r_[np.minimum(a, b), name], "b": np.r_[np.maximum(a, b), node[tiled]], "tiled": np.r_[np.zeros(len(a), bool), np.ones(len(name), bool)]})
-
-    return run
+def forest(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph of near codes. Each code is compared with those that no search has reached yet: near copies of one document cost one comparison each."""
+    todo = np.arange(len(codes))
+    u, v = [], []
+    while len(todo):
+        front, todo = [int(todo[0])], todo[1:]
+        while front and len(todo):
+            x = front.pop()
+            hit = np.bitwise_count(codes[x] ^ codes[todo]).sum(axis=1) <= radius
+            found, todo = todo[hit], todo[~hit]
+            u.append(found)
+            v.append(np.full(len(found), x))
+            front += found.tolist()
+    return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64),) * 2
 
 
 def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -240,100 +230,77 @@ def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def close(x: np.ndarray, y: np.ndarray, radius: int, confirm: int) -> np.ndarray:
-    """Whether codes are within radius, and the confirming ones within confirm."""
-    d = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).reshape(*np.broadcast_shapes(x.shape, y.shape)[:-1], 2, WORDS).sum(axis=-1)
-    return (d[..., 0] <= radius) & (d[..., 1] <= confirm)
-
-
-def _confirm(radius: int, confirm: int):
-    def run(pairs: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        """Of the pairs those within the radius, as a spanning forest."""
-        names = nodes["node"].to_numpy(np.int64)
-        order = np.argsort(names)
-        names, codes = names[order], nodes[CODE].to_numpy(np.int64)[order]
-        a, b = (np.searchsorted(names, pairs[c].to_numpy(np.int64)) for c in "ab")
-        ok = np.concatenate([close(codes[a[lo : lo + 65536]], codes[b[lo : lo + 65536]], radius, confirm) for lo in range(0, len(a), 65536)]) if len(a) else np.empty(0, bool)
-        label = least_labels(a[ok], b[ok], len(names))
-        moved = np.flatnonzero(label != np.arange(len(names)))
-        return pd.DataFrame({"u": names[moved], "v": names[label[moved]]})
-
-    return run
-
-
-def forest(codes: np.ndarray, radius: int, confirm: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the graph of near codes. Each code is compared with those that no search has reached yet: near copies of one document cost one comparison each."""
-    todo = np.arange(len(codes))
-    u, v = [], []
-    while len(todo):
-        front, todo = [int(todo[0])], todo[1:]
-        while front and len(todo):
-            x = front.pop()
-            hit = close(codes[x][None], codes[todo], radius, confirm)
-            found = todo[hit]
-            todo = todo[~hit]
-            u.append(found)
-            v.append(np.full(len(found), x))
-            front += found.tolist()
-        # what a search has reached is one component; the next begins elsewhere
-    return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64),) * 2
-
-
-def _tile(radius: int, confirm: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = forest(pdf[CODE].to_numpy(np.int64), radius, confirm)
-        names = pdf["node"].to_numpy(np.int64)
-        return pd.DataFrame({"u": names[u], "v": names[v]})
+def _meet(radius: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A spanning forest of the near pairs that collide in this table and group; without the pairs of small buckets that an earlier table of the same word brings together."""
+        t = int(key[0])
+        every = tables(radius)
+        word, mask = every[t]
+        earlier = [m for w, m in every[:t] if w == word]
+        codes = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(-1, len(CODE))
+        k = key_of(codes, mask)
+        order = np.argsort(k)
+        size = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(k[order]) != 0]), len(k)])
+        order = order[np.repeat(size > 1, size)]
+        size = size[size > 1]
+        codes = codes[order]
+        cuts = np.r_[0, np.cumsum(size)].astype(np.int64)
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        large = np.repeat(size > SMALL_BUCKET, size)
+        small = codes[~large]
+        columns = [np.ascontiguousarray(small[:, c]) for c in range(len(CODE))]
+        at = np.flatnonzero(~large)
+        sizes = size[size <= SMALL_BUCKET]
+        for i, j in collisions(len(small), np.cumsum(sizes) - sizes):
+            ok = within(columns, i, j, radius)
+            i, j = i[ok], j[ok]
+            diff = small[i] ^ small[j]
+            first = np.ones(len(i), bool)
+            for m in earlier:
+                first &= ((diff & m) != 0).any(axis=1)
+            u.append(at[i[first]])
+            v.append(at[j[first]])
+        for b in np.flatnonzero(size > SMALL_BUCKET):
+            x, y = forest(codes[cuts[b] : cuts[b + 1]], radius)
+            u.append(x + cuts[b])
+            v.append(y + cuts[b])
+        # a node of several buckets is linked in all of them; the forest is of this table alone
+        label = least_labels(np.concatenate(u), np.concatenate(v), len(codes))
+        moved = np.flatnonzero(label != np.arange(len(codes)))
+        return pd.DataFrame({"u": node_of(codes[moved]), "v": node_of(codes[label[moved]])})
 
     return run
 
 
-def in_tiles(members: DataFrame, nodes: DataFrame, radius: int, confirm: int) -> DataFrame:
-    """(u, v): forests of the buckets (bucket, node), each two blocks of TILE nodes in a task of their own."""
-    sizes = members.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("blocks"))
-    own = F.pmod(F.shiftright("node", 20), F.col("blocks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = members.join(sized(sizes), "bucket").withColumn("own", own).withColumn("other", F.explode(other))
-    placed = placed.select("bucket", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return placed.join(nodes, "node").groupBy("bucket", "i", "j").applyInPandas(_tile(radius, confirm), "u bigint, v bigint")
-
-
-def near_edges(nodes: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
-    """(u, v) of the written table (node, c0..., d0...): a graph with the connected components of that of all pairs within radius and confirm."""
+def near_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v) of the written table (node, c0...) of distinct codes: a graph with the connected components of that of all pairs within radius."""
     n = nodes.count()
-    cells = 1 << max(0, math.ceil(math.log2(max(1, 8 * n / CELL_ENTRIES)))) if n > CELL_ENTRIES else 1
-    hot: dict[tuple[int, int], int] = {}
+    codes = nodes.select(*CODE)
+    cells, hot = 1, {}
     if n > CELL_ENTRIES:
-        count = nodes.mapInArrow(_cells(radius, cells), "t int, c int, n bigint").groupBy("t", "c").agg(F.sum("n").alias("n"))
-        # at most the entries divided by CELL_ENTRIES of them
+        cells = 1 << math.ceil(math.log2(2 * n / CELL_ENTRIES))
+        count = codes.mapInArrow(_cells(radius, cells), "t int, c int, n bigint").groupBy("t", "c").agg(F.sum("n").alias("n"))
+        # no more of them than entries divided by CELL_ENTRIES
         hot = {(r["t"], r["c"]): math.ceil(r["n"] / CELL_ENTRIES) for r in count.where(F.col("n") > CELL_ENTRIES).collect()}
-    met = nodes.mapInArrow(_pack(radius, cells, hot), PACKED).groupBy("t", "c", "i", "j").applyInPandas(_meet(radius, hot), MET)
-    met = written(met, "met")
-    pairs = written(met.where("NOT tiled").select("a", "b").distinct(), "pairs")
-    blocks = max(1, math.ceil(pairs.count() / PAIRS_A_BLOCK))
-    pairs = pairs.withColumn("k", F.pmod(F.xxhash64(F.least("a", "b")), F.lit(blocks)))
-    need = pairs.select(F.col("k").alias("block"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    edges = pairs.groupBy("k").cogroup(need.join(nodes, "node").groupBy("block")).applyInPandas(_confirm(radius, confirm), "u bigint, v bigint")
-    members = met.where("tiled").select(F.col("a").alias("bucket"), F.col("b").alias("node")).distinct()
-    return edges.unionByName(in_tiles(members, nodes, radius, confirm))
+    return codes.mapInArrow(_pack(radius, cells, hot), PACKED).groupBy("t", "c", "i", "j").applyInPandas(_meet(radius), "u bigint, v bigint")
 
 
 def code_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, codes) of the documents that have an id and a word, written; node is a hash of the codes."""
-    codes = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("text").alias("text")).mapInArrow(_codes, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in CODE))
-    return written(codes.withColumn("node", F.xxhash64(*CODE)), "codes")
+    """(doc_id, node, codes) of the documents that have an id and a word, written."""
+    codes = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
+    return written(codes.mapInArrow(_codes, "doc_id bigint, node bigint, " + ", ".join(f"{c} bigint" for c in CODE)), "codes")
 
 
-def duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
+def duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, duplicate_of) of every document that a group's first document, the one with the smallest id, stands for.
 
-    Two documents are near-duplicates if their codes differ in at most radius of 256 bits and their confirming codes in at most confirm; all such pairs are found, and groups
+    Two documents are near-duplicates if their codes differ in at most radius of 256 bits; all such pairs are found, and groups
     are connected components, found exactly. Equal codes are one node. Null ids and texts without words are never duplicates. Long texts are read in pieces, as one text. Rows that share an id are one document:
     they don't make each other a duplicate, and either's code counts for it. Other columns aren't read.
     """
     table = code_table(docs)
     nodes = written(table.groupBy("node").agg(*(F.first(c).alias(c) for c in CODE)), "nodes")
-    edges = written(near_edges(nodes, radius, confirm), "near")
+    edges = written(near_edges(nodes, radius), "near")
     # documents that share an id link their nodes
     twice = table.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     if not twice.isEmpty():
