@@ -55,31 +55,49 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - low
 
 
-def fisher_p(a: int, b: int, c: int, d: int, alternative: str = "two-sided") -> float:
-    """Fisher's exact test. Terms beyond 40 standard deviations of the mean and of a are below any double and are left out."""
-    if min(a, b, c, d) < 0:
+ALTERNATIVES = ("two-sided", "greater", "less")
+
+
+def fisher_tests(tables: np.ndarray, alternative: str = "two-sided", cells: int = 1 << 20) -> np.ndarray:
+    """Fisher's exact test of the rows (a, b, c, d), all at once. Terms beyond 40 standard deviations of the mean and of a are below any double and are left out."""
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"unknown alternative {alternative!r}")
+    tables = np.asarray(tables, np.int64).reshape(-1, 4)
+    if (tables < 0).any():
         raise ValueError("cells must not be negative")
-    n, r, k = a + b + c + d, a + b, a + c
-    if n == 0:
-        return 1.0
-    lo, hi = max(0, r + k - n), min(r, k)
-    mean = r * k / n
-    sd = (max(1e-9, mean * (n - r) / n * (n - k) / max(1, n - 1))) ** 0.5
-    first, last = max(lo, int(min(a, mean - 40 * sd)) - 10), min(hi, int(max(a, mean + 40 * sd)) + 10)
-    x = np.arange(first, last + 1, dtype=float)
-    lg = log_gamma
-    const = lg(r + 1) + lg(n - r + 1) + lg(k + 1) + lg(n - k + 1) - lg(n + 1)
-    logs = const - lg(x + 1) - lg(r - x + 1) - lg(k - x + 1) - lg(n - r - k + x + 1)
-    at = a - first
+    a, b, c, d = tables.T
+    n, r, k = tables.sum(1), a + b, a + c
+    size = np.maximum(n, 1).astype(float)
+    mean = r * (k / size)
+    sd = np.sqrt(np.maximum(1e-9, mean * ((n - r) / size) * ((n - k) / np.maximum(1, n - 1))))
+    first = np.maximum(np.maximum(0, r + k - n), np.minimum(a, mean - 40 * sd).astype(np.int64) - 10)
+    last = np.minimum(np.minimum(r, k), np.maximum(a, mean + 40 * sd).astype(np.int64) + 10)
     if alternative == "greater":
-        logs = logs[at:]
+        first = a
     elif alternative == "less":
-        logs = logs[: at + 1]
-    elif alternative == "two-sided":
-        logs = logs[logs <= logs[at] + 1e-8]
-    else:
-        raise ValueError(f"unknown alternative {alternative!r}")
-    return float(min(1.0, max(0.0, np.exp(logs).sum())))
+        last = a
+    const = log_gamma(r + 1) + log_gamma(n - r + 1) + log_gamma(k + 1) + log_gamma(n - k + 1) - log_gamma(n + 1)
+
+    def logs(x: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        return const[at] - log_gamma(x + 1) - log_gamma(r[at] - x + 1) - log_gamma(k[at] - x + 1) - log_gamma((n - r - k)[at] + x + 1)
+
+    own, many = logs(a, slice(None)), last - first + 1
+    out, upto, lo = np.ones(len(tables)), np.cumsum(many), 0
+    while lo < len(tables):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + cells, side="right")))
+        m = many[lo:hi]
+        at = np.repeat(np.arange(lo, hi), m)
+        x = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+        lp = logs(x, at)
+        if alternative == "two-sided":
+            lp = np.where(lp <= own[at] + 1e-8, lp, -np.inf)
+        out[lo:hi] = np.bincount(at - lo, np.exp(lp), hi - lo)
+        lo = hi
+    return np.where(n == 0, 1.0, np.clip(out, 0.0, 1.0))
+
+
+def fisher_p(a: int, b: int, c: int, d: int, alternative: str = "two-sided") -> float:
+    return float(fisher_tests(np.array([[a, b, c, d]]), alternative)[0])
 
 
 def fisher_udf(alternative: str = "two-sided"):
@@ -87,19 +105,11 @@ def fisher_udf(alternative: str = "two-sided"):
 
     @F.arrow_udf("double")
     def p(cells: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        known: dict[tuple, float] = {}
         for batch in cells:
-            out = []
-            for t in zip(*(x.to_pylist() for x in batch)):
-                if None in t:
-                    out.append(None)
-                    continue
-                if t not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[t] = fisher_p(*t, alternative)
-                out.append(known[t])
-            yield pa.array(out, pa.float64())
+            null = np.any([x.is_null().to_numpy(zero_copy_only=False) for x in batch], axis=0)
+            tables = np.stack([x.fill_null(0).to_numpy(zero_copy_only=False) for x in batch], axis=1).astype(np.int64)
+            each, at = np.unique(tables, axis=0, return_inverse=True)
+            yield pa.array(fisher_tests(each, alternative)[at.reshape(-1)], mask=null)
 
     return p.asNondeterministic()
 
@@ -118,14 +128,24 @@ def chi2_p_udf():
 
 
 def correct(df: DataFrame, method: str, p: str = "p_value", out: str = "adjusted_p_value") -> DataFrame:
-    """Bonferroni or Benjamini-Hochberg ("fdr_bh") over all rows of df: a table of vocabulary size, ordered in one partition for the latter."""
-    if method == "bonferroni":
-        return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.count("*").over(Window.partitionBy())))
-    if method != "fdr_bh":
+    """Bonferroni or Benjamini-Hochberg ("fdr_bh") over all rows of df. Ranks come from ranges of the order: no task holds all rows."""
+    from ..plans.order import running_sum
+    from ..plans.shared import written
+
+    if method not in ("bonferroni", "fdr_bh"):
         raise ValueError(f"unknown correction {method!r}")
-    rank, n = F.row_number().over(Window.orderBy(p)), F.count("*").over(Window.partitionBy())
-    back = Window.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({"__rank": rank, "__n": n}).withColumn("__q", F.col(p) * F.col("__n") / F.col("__rank")).withColumn(out, F.least(F.lit(1.0), F.min("__q").over(back))).drop("__rank", "__n", "__q")
+    rows = written(df, "tests")
+    n = rows.count()
+    if method == "bonferroni":
+        return rows.withColumn(out, F.least(F.lit(1.0), F.col(p) * n))
+    ranks = running_sum(rows, [p], out="__before").withColumn("__q", F.col(p) * n / (F.col("__before") + 1))
+    # the least quotient from a row on: within ranges of p, then over the ranges after it
+    q = written(ranks.repartitionByRange(p).withColumn("__part", F.spark_partition_id()), "quotients")
+    least = q.groupBy("__part").agg(F.min("__q").alias("__least"))
+    later = least.select(F.col("__part").alias("__p"), F.min("__least").over(Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)).alias("__later"))  # a row a range
+    mine = F.min("__q").over(Window.partitionBy("__part").orderBy("__before").rowsBetween(0, Window.unboundedFollowing))
+    joined = q.withColumn("__mine", mine).join(F.broadcast(later), F.col("__part") == F.col("__p"))
+    return joined.withColumn(out, F.least(F.lit(1.0), "__mine", "__later")).drop("__before", "__q", "__part", "__p", "__later", "__mine")
 
 
 def check_options(given: dict | None, known: set[str]) -> dict:

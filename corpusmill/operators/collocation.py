@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import check_options, correct, expected, fisher_udf, safe_ratio
 from ..functions.tokens import truncated
+from ..plans.order import running_sum
 
 FILTERS = {"stopwords", "min_word_length", "max_p", "max_adjusted_p"} | {f"{m}_{c}" for m in ("min", "max") for c in ("obs_local", "obs_global", "exp_local", "ratio_local")}
 BOTH = {"stopwords", "min_word_length", "max_p"}
@@ -122,11 +123,9 @@ def kwic(docs: DataFrame, targets: str | Iterable[str], *, horizon: int | tuple[
     """
     left, right = sides(horizon)
     names = _targets(targets)
-    from pyspark.sql import Window
-
     corpus = docs.select(F.col(order).alias("__order"), truncated(F.col("tokens"), max_length).alias("tokens")).where(F.size("tokens") > 0)
-    # ids are ranked without their tokens: (order, id) alone goes through the one ordered partition
-    index = corpus.select("__order").withColumn("doc_index", F.row_number().over(Window.orderBy("__order")) - 1)
+    # ids are numbered without their tokens, in ranges of their order
+    index = running_sum(corpus.select("__order"), ["__order"], out="doc_index")
     hit = corpus.where(F.arrays_overlap("tokens", F.array(*map(F.lit, names))))
     places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i).isin(names))
     rows = hit.select("__order", F.explode(F.transform(places, lambda i: F.struct(i.alias("position"), F.get("tokens", i).alias("node"), F.slice("tokens", F.greatest(i - left, F.lit(0)) + 1, F.least(i, F.lit(left))).alias("left_tokens"), F.slice("tokens", i + 2, F.lit(right)).alias("right_tokens")))).alias("h"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..plans.order import running_sum
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -52,10 +54,16 @@ def without(df: DataFrame, words: Iterable[str] | DataFrame, column: str = "toke
     return df.join(words.toDF("__stop"), F.col(column) == F.col("__stop"), "left_anti")
 
 
-def balanced(docs: DataFrame, period: str = "period", order: str = "doc_id") -> DataFrame:
-    """Every period cut to the token count of the smallest, in document order; the last document that fits in part is cut."""
-    sized = docs.withColumn("__n", F.size("tokens"))
-    least = sized.groupBy(period).agg(F.sum("__n").alias("n")).agg(F.min("n")).first()[0] or 0
-    before = F.sum("__n").over(Window.partitionBy(period).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    out = sized.withColumn("__left", F.lit(least) - F.coalesce(before, F.lit(0))).where("__left > 0")
-    return out.withColumn("tokens", F.slice("tokens", 1, F.least("__left", F.greatest("__n", F.lit(1))).cast("int"))).drop("__n", "__left")
+def balanced(docs: DataFrame, period: str = "period", order: str = "doc_id", how: str = "balanced", share: float = 1.0) -> DataFrame:
+    """Periods cut to a budget of tokens, in document order; the last document that fits in part is cut. balanced: share of the smallest period's tokens for
+    each; proportional: share of its own. A period is ordered in ranges, so that a long one is no single task."""
+    if how not in ("balanced", "proportional") or not 0 < share <= 1:
+        raise ValueError("how is balanced or proportional, share in (0, 1]")
+    sized = docs.withColumn("__n", F.size("tokens").cast("long"))
+    totals = sized.groupBy(period).agg(F.sum("__n").alias("__budget"))
+    if how == "balanced":
+        totals = totals.withColumn("__budget", F.lit(totals.agg(F.min("__budget")).first()[0] or 0))
+    budget = totals.select(F.col(period).alias("__period"), F.floor(F.col("__budget") * share).alias("__budget"))
+    before = running_sum(sized, [order], "__n", [period], "__before").join(budget, F.col(period).eqNullSafe(F.col("__period"))).drop("__period")
+    out = before.withColumn("__left", F.col("__budget") - F.col("__before")).where("__left > 0")
+    return out.withColumn("tokens", F.slice("tokens", 1, F.least("__left", F.greatest("__n", F.lit(1))).cast("int"))).drop("__n", "__left", "__budget", "__before")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -38,38 +39,55 @@ def islands(found: DataFrame, n: int = 5, max_gap: int = 3) -> DataFrame:
     return out.where("end_a > pos_a AND end_b > pos_b").drop("island")
 
 
+def banded_distances(left: list[np.ndarray], right: list[np.ndarray], band: int, cells: int = 1 << 22) -> np.ndarray:
+    """Edit distances of pairs of token numbers, or band + 1 where they are more than band: one row of the table for all pairs at a time, within the band."""
+    far = band + 1
+    out = np.full(len(left), far)
+    sizes = np.array([[len(a), len(b)] for a, b in zip(left, right)]).reshape(-1, 2)
+    todo = np.flatnonzero(np.abs(sizes[:, 0] - sizes[:, 1]) <= band)
+    todo = todo[np.argsort(sizes[todo, 0], kind="stable")]  # pairs of like length together
+    while len(todo):
+        step = max(1, cells // max(1, int(sizes[todo[-1]].max()) + 2 * band))
+        part, todo = todo[:step], todo[step:]
+        n, m = sizes[part].T
+        a = np.full((len(part), n.max(initial=0) + 1), -1)
+        b = np.full((len(part), n.max(initial=0) + 2 * band + 2), -2)  # b's place j is column j + band
+        for k, p in enumerate(part):
+            a[k, : n[k]] = left[p]
+            b[k, band : band + m[k]] = right[p]
+        offset = np.arange(-band, band + 1)
+        row = np.where(offset >= 0, np.minimum(offset, far), far)[None].repeat(len(part), 0)
+        done = row.copy()
+        for i in range(1, n.max(initial=0) + 1):
+            differ = a[:, i - 1 : i] != b[:, i - 1 : i + 2 * band]
+            new = np.minimum(row + differ, np.c_[row[:, 1:], np.full(len(part), far)] + 1)
+            j = i + offset
+            new = np.where(j < 0, far, np.where(j == 0, i, new))
+            for k in range(1, 2 * band + 1):
+                new[:, k] = np.minimum(new[:, k], new[:, k - 1] + 1)
+            row = np.minimum(new, far)
+            done[n == i] = row[n == i]
+        out[part] = done[np.arange(len(part)), m - n + band]
+    return out
+
+
 def banded_distance(a: list[str], b: list[str], band: int) -> int:
     """Edit distance of tokens, or band + 1 if it is more than band."""
-    if abs(len(a) - len(b)) > band:
-        return band + 1
-    far = band + 1
-    prev = {j: j for j in range(min(band, len(b)) + 1)}
-    for i in range(1, len(a) + 1):
-        now = {}
-        for j in range(max(0, i - band), min(len(b), i + band) + 1):
-            if j == 0:
-                now[j] = i
-                continue
-            now[j] = min(prev.get(j - 1, far) + (a[i - 1] != b[j - 1]), prev.get(j, far) + 1, now.get(j - 1, far) + 1)
-        if min(now.values()) > band:
-            return far
-        prev = now
-    return min(prev.get(len(b), far), far)
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(t, len(number)) for t in s], np.int64) for s in (a, b))
+    return int(banded_distances([x], [y], band)[0])
 
 
 def _verify(band: int, least: float, shortest: int):
     def run(batches):
         for pdf in batches:
-            keep, length, similarity = [], [], []
-            for x, y in zip(pdf["ta"], pdf["tb"]):
-                n = max(len(x), len(y))
-                d = banded_distance(list(x), list(y), band) if n >= shortest else band + 1
-                s = 1 - d / n if n else 0.0
-                keep.append(d <= band and s >= least)
-                length.append(n)
-                similarity.append(round(s, 4))
-            pdf = pdf.assign(length=length, similarity=similarity, passage_a=pdf["ta"].map("".join), passage_b=pdf["tb"].map("".join))
-            yield pdf.loc[keep, ["doc_a", "doc_b", "pos_a", "pos_b", "length", "similarity", "passage_a", "passage_b"]]
+            number: dict[str, int] = {}
+            left, right = ([np.array([number.setdefault(t, len(number)) for t in s], np.int64) for s in pdf[c]] for c in ("ta", "tb"))
+            length = np.array([max(len(x), len(y)) for x, y in zip(left, right)], np.int64)
+            d = np.where(length >= shortest, banded_distances(left, right, band), band + 1)
+            s = np.where(length > 0, 1 - d / np.maximum(length, 1), 0.0)
+            pdf = pdf.assign(length=length, similarity=s.round(4), passage_a=pdf["ta"].map("".join), passage_b=pdf["tb"].map("".join))
+            yield pdf.loc[(d <= band) & (s >= least), ["doc_a", "doc_b", "pos_a", "pos_b", "length", "similarity", "passage_a", "passage_b"]]
 
     return run
 
