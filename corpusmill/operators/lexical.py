@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -30,36 +31,39 @@ def vocabulary_stats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return per.select(key, k.alias("yule_k"), "token_count", "type_count", F.when(n > 0, F.col("type_count") / F.nullif(n, F.lit(0.0))).alias("ttr"))
 
 
+def types_in_windows(tokens: pa.ListArray, window: int) -> np.ndarray:
+    """Of each list the number of distinct tokens, summed over all its windows: an occurrence counts in the windows that hold it but not the one before."""
+    flat = tokens.flatten()
+    code = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(flat) else np.empty(0, np.int64)
+    size = np.array([0 if n is None else n for n in tokens.value_lengths().to_pylist()], np.int64)
+    doc = np.repeat(np.arange(len(size)), size)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.lexsort((pos, code, doc))
+    same = np.zeros(len(doc), bool)
+    same[1:] = (doc[order][1:] == doc[order][:-1]) & (code[order][1:] == code[order][:-1])
+    before = np.full(len(doc), -1)
+    before[order[same]] = pos[order[np.flatnonzero(same) - 1]]
+    held = np.minimum(pos, size[doc] - window) - np.maximum(np.maximum(before + 1, pos - window + 1), 0) + 1
+    return np.bincount(doc, np.maximum(held, 0), len(size))
+
+
 def _mattr(window: int):
     def run(batches):
-        for pdf in batches:
-            out = []
-            for tokens in pdf["tokens"]:
-                seen: dict = {}
-                total = types = 0
-                for i, t in enumerate(tokens):
-                    c = seen.get(t, 0)
-                    types += not c
-                    seen[t] = c + 1
-                    if i >= window:
-                        old = tokens[i - window]
-                        seen[old] -= 1
-                        types -= not seen[old]
-                    if i >= window - 1:
-                        total += types
-                n = len(tokens) - window + 1
-                out.append(total / (n * window) if n > 0 else None)
-            yield pd.DataFrame({"key": pdf["key"], "mattr": pd.Series(out, dtype=object)})
+        for b in batches:
+            lists = b.column(1)
+            n = np.array([0 if k is None else k for k in lists.value_lengths().to_pylist()], np.int64) - window + 1
+            mean = types_in_windows(lists, window) / np.maximum(n * window, 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mean, mask=n <= 0)], names=["key", "mattr"])
 
     return run
 
 
 def mattr(docs: DataFrame, window: int = 500, key: str = "doc_id") -> DataFrame:
-    """(key, mattr): the mean type-token ratio of all windows, counted as the window moves; null for a document shorter than it."""
+    """(key, mattr): the mean type-token ratio of all windows, from the places of each token's last occurrence; null for a document shorter than it."""
     if window < 1:
         raise ValueError("window must be positive")
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), "tokens").mapInPandas(_mattr(window), f"key {kind}, mattr double").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), "tokens").mapInArrow(_mattr(window), f"key {kind}, mattr double").withColumnRenamed("key", key)
 
 
 def rolling_average(df: DataFrame, value: str, window: int, order: list[str], by: list[str] | None = None, edges: str = "truncate", out: str = "rolling") -> DataFrame:
