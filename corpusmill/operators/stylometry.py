@@ -1,4 +1,4 @@
-"""Stylometry on long-form features: (doc_id, author, feature, value), zero-filled over a bounded feature list."""
+"""Stylometry: documents as arrays of values over a bounded list of features, counted where the documents are."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tokens import ngrams
-from ..functions.vectors import DISTANCES
+from ..functions.vectors import DISTANCES, distance_to_similarity
 from ..plans.shared import written
+from .vectors import BLOCKS, _blocks, distances, rows_of
 
 METRICS = tuple(sorted(DISTANCES))
 
@@ -21,183 +24,316 @@ def feature_counts(docs: DataFrame, keys: list[str], ngram_range: tuple[int, int
     return grams.groupBy(*keys, "feature").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
 
 
-def pair_distance(pairs: DataFrame, keys: list[str], metric: str) -> DataFrame:
-    """pairs (keys..., x, y), a row per feature: (keys..., distance)."""
-    gap = F.col("x") - F.col("y")
-    if metric == "cosine":
-        nx, ny, xy = F.sqrt(F.sum(F.col("x") * F.col("x"))), F.sqrt(F.sum(F.col("y") * F.col("y"))), F.sum(F.col("x") * F.col("y"))
-        d = F.when((nx < 1e-10) | (ny < 1e-10), 1.0).otherwise(1 - xy / F.nullif(nx * ny, F.lit(0.0)))
-    elif metric == "burrows_delta":
-        d = F.avg(F.abs(gap))
-    elif metric == "manhattan":
-        d = F.sum(F.abs(gap))
-    elif metric == "euclidean":
-        d = F.sqrt(F.sum(gap * gap))
-    elif metric == "eder_delta":
-        d = F.sqrt(F.avg(gap * gap))
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
-    return pairs.groupBy(*keys).agg(d.alias("distance"))
+def _counted(names: list[str], n_keys: int):
+    def run(batches):
+        """Keys, the count of each feature in each row's list, and the list's length."""
+        known = pa.array(names, pa.string())
+        for b in batches:
+            lists = b.column(n_keys)
+            size = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+            at = pa.compute.index_in(lists.flatten(), known).to_numpy(zero_copy_only=False).astype(float) if len(b) else np.empty(0)
+            cell = np.repeat(np.arange(len(size)), size) * len(names) + np.nan_to_num(at, nan=0).astype(np.int64)
+            n = np.bincount(cell[~np.isnan(at)], minlength=len(size) * len(names)).astype(np.int64)
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * len(names)), pa.array(n))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_keys], counts, pa.array(size)], names=[*b.schema.names[:n_keys], "counts", "total"])
+
+    return run
+
+
+def literal(x) -> Column:
+    return F.array(*[F.lit(float(v)) for v in x])
 
 
 @dataclass
 class Fitted:
-    features: DataFrame  # (feature, mean, std, idf), at most n_features rows
-    relative: DataFrame  # (doc_id, author, feature, rel), zero-filled
-    vectors: DataFrame  # (doc_id, author, feature, value)
-    centroids: DataFrame  # (author, feature, value)
+    names: list[str]  # at most n_features
+    mean: np.ndarray
+    std: np.ndarray
+    idf: np.ndarray
+    relative: DataFrame  # (doc_id, author, rel): written
+    centroids: DataFrame  # (author, vec): written
 
 
 class Stylometry:
-    def __init__(self, n_features: int = 100, ngram_range: tuple[int, int] = (1, 1), transform: str = "zscore", distance: str = "cosine", cull: float | None = None, min_variance: float | None = None, mode: str = "centroid"):
-        if transform not in ("zscore", "tfidf") or distance not in METRICS or mode not in ("centroid", "instance"):
-            raise ValueError("unknown transform, distance or mode")
+    def __init__(self, n_features: int = 100, ngram_range: tuple[int, int] = (1, 1), transform: str = "zscore", distance: str = "cosine", cull: float | None = None, min_variance: float | None = None, mode: str = "centroid", classifier: str = "delta"):
+        if transform not in ("zscore", "tfidf") or distance not in METRICS or mode not in ("centroid", "instance") or classifier not in ("delta", "svm"):
+            raise ValueError("unknown transform, distance, mode or classifier")
         self.n_features, self.ngram_range, self.kind, self.distance_name, self.cull, self.min_variance, self.mode = n_features, ngram_range, transform, distance, cull, min_variance, mode
+        self.classifier = classifier
         self.fitted: Fitted | None = None
 
-    def _value(self):
+    def _relative(self, docs: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+        """(keys..., rel): shares of the features in each document's n-grams. Counts are made in the documents' rows; rows of one document are added up."""
+        kinds = dict(docs.dtypes)
+        schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", counts array<bigint>, total bigint"
+        rows = docs.select(*keys, ngrams(F.col("tokens"), *self.ngram_range).alias("grams")).mapInArrow(_counted(names, len(keys)), schema)
+        zero = F.array_repeat(F.lit(0).cast("long"), len(names))
+        whole = rows.groupBy(*keys).agg(F.aggregate(F.collect_list("counts"), zero, lambda s, c: F.zip_with(s, c, lambda x, y: x + y)).alias("counts"), F.sum("total").alias("total"))
+        return whole.select(*keys, F.transform("counts", lambda n: n / F.nullif(F.col("total"), F.lit(0))).alias("rel"))
+
+    def _value(self, rel: Column) -> Column:
+        f = self._ready()
         if self.kind == "zscore":
-            return (F.col("rel") - F.col("mean")) / F.col("std")
-        return F.col("rel") * F.col("idf")
+            return F.zip_with(F.zip_with(rel, literal(f.mean), lambda x, m: x - m), literal(f.std), lambda x, s: x / s)
+        return F.zip_with(rel, literal(f.idf), lambda x, i: x * i)
+
+    def _long(self, wide: DataFrame, keys: list[str]) -> DataFrame:
+        names = F.array(*map(F.lit, self._ready().names))
+        return wide.select(*keys, F.posexplode("vec").alias("i", "value")).select(*keys, F.get(names, F.col("i")).alias("feature"), "value")
 
     def fit_transform(self, docs: DataFrame) -> DataFrame:
         """docs (doc_id, author, tokens): (doc_id, author, feature, value). Needs two documents with tokens."""
         docs = docs.where(F.size("tokens") > 0)
-        names = docs.select("doc_id", "author").distinct()
-        n_docs = names.count()
+        n_docs = docs.select("doc_id", "author").distinct().count()
         if n_docs < 2:
             raise ValueError("at least two documents are needed")
-        counts = feature_counts(docs, ["doc_id", "author"], self.ngram_range)
-        chosen = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+        grams = docs.select("doc_id", "author", F.explode(ngrams(F.col("tokens"), *self.ngram_range)).alias("feature"))
+        chosen = grams.groupBy("feature").agg(F.count("*").alias("n"))
         if self.cull:
-            chosen = chosen.where(F.col("df") >= math.ceil(self.cull * n_docs))
-        chosen = chosen.orderBy(F.desc("n"), "feature").limit(self.n_features).select("feature", "df")
-        rel = counts.join(F.broadcast(chosen), "feature").select("doc_id", "author", "feature", (F.col("n") / F.col("total")).alias("rel"))
-        # the feature list is bounded by n_features
-        full = names.crossJoin(F.broadcast(chosen)).join(rel, ["doc_id", "author", "feature"], "left").fillna(0.0, ["rel"])
-        stats = full.groupBy("feature").agg(F.avg("rel").alias("mean"), F.stddev_pop("rel").alias("s"), F.var_pop("rel").alias("var"), F.ln(F.lit(float(n_docs)) / F.greatest(F.count_if(F.col("rel") > 0), F.lit(1))).alias("idf"))
-        if self.min_variance:
-            stats = stats.where(F.col("var") >= self.min_variance)
-        features = stats.select("feature", "mean", F.when(F.col("s") < 1e-10, 1.0).otherwise(F.col("s")).alias("std"), "idf")
-        relative = full.join(F.broadcast(features), "feature")
-        vectors = relative.select("doc_id", "author", "feature", self._value().alias("value"))
-        centroids = relative.groupBy("author", "feature", "mean", "std", "idf").agg(F.avg("rel").alias("rel")).select("author", "feature", self._value().alias("value"))
-        self.fitted = Fitted(features, relative.select("doc_id", "author", "feature", "rel"), vectors, centroids)
-        return vectors
+            held = grams.distinct().groupBy("feature").agg(F.count("*").alias("df")).where(F.col("df") >= math.ceil(self.cull * n_docs))
+            chosen = chosen.join(held, "feature", "left_semi")
+        names = [r["feature"] for r in chosen.orderBy(F.desc("n"), "feature").limit(self.n_features).select("feature").collect()]
+        relative = written(self._relative(docs, ["doc_id", "author"], names), "relative")
+        stats = relative.select(F.posexplode("rel").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("s"), F.var_pop("x").alias("var"), F.count_if(F.col("x") > 0).alias("df")).orderBy("i").collect()
+        stats = [r for r in stats if not self.min_variance or r["var"] >= self.min_variance]
+        if len(stats) < len(names):
+            kept = F.array(*[F.lit(r["i"]) for r in stats])
+            relative = written(relative.select("doc_id", "author", F.transform(kept, lambda i: F.get("rel", i)).alias("rel")), "relative")
+        self.fitted = Fitted([names[r["i"]] for r in stats], np.array([r["mean"] for r in stats]), np.array([1.0 if r["s"] < 1e-10 else r["s"] for r in stats]), np.array([math.log(n_docs / max(1, r["df"])) for r in stats]), relative, relative)
+        means = relative.select("author", F.posexplode("rel").alias("i", "x")).groupBy("author", "i").agg(F.avg("x").alias("x"))
+        centroids = means.groupBy("author").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("rel"))
+        self.fitted.centroids = written(centroids.select("author", self._value(F.col("rel")).alias("vec")), "centroids")
+        return self._long(self._vectors(), ["doc_id", "author"])
 
     def _ready(self) -> Fitted:
         if self.fitted is None:
             raise ValueError("fit_transform() comes first")
         return self.fitted
 
+    def _vectors(self) -> DataFrame:
+        """(doc_id, author, vec) of the fitted documents."""
+        return self._ready().relative.select("doc_id", "author", self._value(F.col("rel")).alias("vec"))
+
+    def arrays(self, docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """Vectors of unseen documents: (keys..., vec), in the order of the features."""
+        return self._relative(docs.where(F.size("tokens") > 0), list(keys), self._ready().names).select(*keys, self._value(F.col("rel")).alias("vec"))
+
     def transform(self, docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """Vectors of unseen documents: (keys..., feature, value)."""
-        f, keys = self._ready().features, list(keys)
-        docs = docs.where(F.size("tokens") > 0)
-        rel = feature_counts(docs, keys, self.ngram_range).select(*keys, "feature", (F.col("n") / F.col("total")).alias("rel"))
-        full = docs.select(*keys).distinct().crossJoin(F.broadcast(f)).join(rel, [*keys, "feature"], "left").fillna(0.0, ["rel"])
-        return full.select(*keys, "feature", self._value().alias("value"))
+        """(keys..., feature, value) of unseen documents. Warns if none of them has a known feature."""
+        import warnings
+
+        known = F.array(*map(F.lit, self._ready().names))
+        if docs.where(F.arrays_overlap(ngrams(F.col("tokens"), *self.ngram_range), known)).isEmpty() and not docs.isEmpty():
+            warnings.warn("no document has a feature of the fitted ones", stacklevel=2)
+        return self._long(self.arrays(docs, keys), list(keys))
 
     def _candidates(self) -> DataFrame:
-        f = self._ready()
         if self.mode == "centroid":
-            return f.centroids.select(F.col("author").alias("candidate"), "author", "feature", F.col("value").alias("y"))
-        return f.vectors.select(F.col("doc_id").cast("string").alias("candidate"), "author", "feature", F.col("value").alias("y"))
+            return self._ready().centroids.select(F.col("author").alias("candidate"), "author", "vec")
+        return self._vectors().select(F.col("doc_id").cast("string").alias("candidate"), "author", "vec")
 
     def predict(self, docs: DataFrame, k: int = 5) -> DataFrame:
-        """(doc_id, candidate, author, distance, rank): the k nearest authors, or documents in instance mode."""
-        pairs = self.transform(docs).withColumnRenamed("value", "x").join(self._candidates(), "feature")
-        d = pair_distance(pairs, ["doc_id", "candidate", "author"], self.distance_name)
+        """(doc_id, candidate, author, distance, rank): the k nearest authors, or documents in instance mode; with the svm classifier the k most probable authors, (doc_id, author, probability, rank)."""
+        if self.classifier == "svm":
+            rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("probability"), "author"))
+            return self.svm_probabilities(docs).withColumn("rank", rank).where(F.col("rank") <= k)
+        rows = self.arrays(docs)
+        kind = dict(rows.dtypes)["doc_id"]
+        distance, out = BLOCKS[self.distance_name], None
+        # candidates go to the documents in blocks; documents stay where they are
+        for names, y in _blocks(written(self._candidates(), "candidates"), "candidate", "vec"):
+            of = self._authors(names)
+
+            def run(batches, names=names, y=y, of=of):
+                name = np.array(names.to_pylist(), object)
+                order = np.argsort(np.argsort(name.astype(str), kind="stable"))
+                for b in batches:
+                    x = rows_of(b.column(1))
+                    if not len(x):
+                        continue
+                    d = np.concatenate([distance(x[lo : lo + 512], y) for lo in range(0, len(x), 512)])
+                    best = np.lexsort((np.broadcast_to(order, d.shape), d), axis=1)[:, :k]
+                    at = np.repeat(np.arange(len(x)), best.shape[1])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(name[best.ravel()], pa.string()), pa.array(of[best.ravel()], pa.string()), pa.array(d[at, best.ravel()])], names=["doc_id", "candidate", "author", "distance"])
+
+            part = rows.mapInArrow(run, f"doc_id {kind}, candidate string, author string, distance double")
+            out = part if out is None else out.unionByName(part)
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("distance", "candidate"))
-        return d.withColumn("rank", rank).where(F.col("rank") <= k)
+        return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def _authors(self, candidates: pa.Array) -> np.ndarray:
+        if self.mode == "centroid":
+            return np.array(candidates.to_pylist(), object)
+        ids = candidates.to_pylist()
+        of = {r["c"]: r["author"] for r in self._ready().relative.select(F.col("doc_id").cast("string").alias("c"), "author").where(F.col("c").isin(ids)).collect()}
+        return np.array([of[i] for i in ids], object)
 
     def predict_author(self, docs: DataFrame, k: int = 5) -> DataFrame:
         """(doc_id, author): the nearest author, or the most common among the k nearest documents; ties to the nearer."""
+        if self.classifier == "svm":
+            return self.svm_predict(docs)
         near = self.predict(docs, 1 if self.mode == "centroid" else k)
         votes = near.groupBy("doc_id", "author").agg(F.count("*").alias("n"), F.min("rank").alias("r"))
         return votes.groupBy("doc_id").agg(F.min_by("author", F.struct(-F.col("n"), "r")).alias("author"))
 
     def predict_confidence(self, docs: DataFrame, k: int = 5) -> DataFrame:
-        """predict() with confidence, a softmax of distances over what it returns."""
+        """predict() with confidence: a softmax of distances over what it returns, or the svm's probability."""
         p = self.predict(docs, k)
+        if self.classifier == "svm":
+            return p.withColumn("confidence", F.col("probability"))
         w = Window.partitionBy("doc_id")
         p = p.withColumn("__e", F.exp(F.min("distance").over(w) - F.col("distance")))
         return p.withColumn("confidence", F.col("__e") / F.sum("__e").over(w)).drop("__e")
 
     def bootstrap_predict(self, docs: DataFrame, n_iter: int = 100, share: float = 0.5, seed: int = 0) -> DataFrame:
-        """(doc_id, author, votes, share, mean, std): nearest authors over random halves of the features; every candidate sees the same half."""
-        f = self._ready().features
-        m = max(1, int(f.count() * share))
-        it = f.select("feature").crossJoin(docs.sparkSession.range(n_iter).withColumnRenamed("id", "it"))
-        order = F.row_number().over(Window.partitionBy("it").orderBy(F.xxhash64(F.lit(seed), "it", "feature"), "feature"))
-        chosen = it.withColumn("r", order).where(F.col("r") <= m).drop("r")
-        y = self._ready().centroids.withColumnRenamed("value", "y")
-        pairs = self.transform(docs).withColumnRenamed("value", "x").join(y, "feature").join(F.broadcast(chosen), "feature")
-        d = pair_distance(pairs, ["doc_id", "it", "author"], self.distance_name)
-        best = d.withColumn("won", (F.row_number().over(Window.partitionBy("doc_id", "it").orderBy("distance", "author")) == 1).cast("int"))
-        return best.groupBy("doc_id", "author").agg(F.sum("won").alias("votes"), (F.sum("won") / n_iter).alias("share"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("std"))
+        """(doc_id, author, votes, share, mean, std): nearest authors over random parts of the features; every candidate sees the same part. Centroids, authors times features, are on the driver."""
+        f = self._ready()
+        rows = self.arrays(docs)
+        cents = sorted(f.centroids.collect(), key=lambda r: r["author"])
+        names, y = [r["author"] for r in cents], np.array([r["vec"] for r in cents], float)
+        m, rng = max(1, int(len(f.names) * share)), np.random.default_rng(seed)
+        parts = [np.sort(rng.choice(len(f.names), m, replace=False)) for _ in range(n_iter)]
+        distance, kind = BLOCKS[self.distance_name], dict(rows.dtypes)["doc_id"]
+
+        def run(batches):
+            for b in batches:
+                for lo in range(0, len(b), 512):
+                    x = rows_of(b.column(1).slice(lo, 512))
+                    d = np.stack([distance(x[:, p], y[:, p]) for p in parts])
+                    won = np.zeros((len(x), len(y)), np.int64)
+                    np.add.at(won, (np.tile(np.arange(len(x)), n_iter), d.argmin(2).ravel()), 1)
+                    at = np.repeat(np.arange(len(x)), len(y))
+                    cols = [pa.array(names * len(x), pa.string()), *(pa.array(v.ravel()) for v in (won, won / n_iter, d.mean(0), d.std(0)))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512).take(pa.array(at)), *cols], names=["doc_id", "author", "votes", "share", "mean", "std"])
+
+        return rows.mapInArrow(run, f"doc_id {kind}, author string, votes bigint, share double, mean double, std double")
 
     def rolling_delta(self, docs: DataFrame, window: int = 1000, step: int = 100, author: str | None = None) -> DataFrame:
         """(doc_id, position, distance, end_position): windows of each document against an author's centroid, or the document's own vector."""
         starts = F.sequence(F.lit(0), F.size("tokens") - window, F.lit(step))
         pieces = docs.where(F.size("tokens") >= window).select("doc_id", F.explode(F.transform(starts, lambda i: F.struct(i.cast("long").alias("position"), F.slice("tokens", i + 1, window).alias("tokens")))).alias("w")).select("doc_id", "w.*")
-        x = self.transform(pieces, ("doc_id", "position")).withColumnRenamed("value", "x")
+        x = self.arrays(pieces, ("doc_id", "position")).withColumnRenamed("vec", "x")
         if author is None:
-            pairs = x.join(self.transform(docs).withColumnRenamed("value", "y"), ["doc_id", "feature"])
+            pairs = x.join(self.arrays(docs).withColumnRenamed("vec", "y"), "doc_id")
         else:
-            pairs = x.join(self._ready().centroids.where(F.col("author") == author).select("feature", F.col("value").alias("y")), "feature")
-        d = pair_distance(pairs, ["doc_id", "position"], self.distance_name)
-        return d.select("doc_id", "position", "distance", (F.col("position") + window).alias("end_position"))
+            own = self._ready().centroids.where(F.col("author") == author).first()
+            if own is None:
+                raise ValueError(f"unknown author {author!r}")
+            pairs = x.withColumn("y", literal(own["vec"]))
+        d = DISTANCES[self.distance_name](F.col("x"), F.col("y"))
+        return pairs.select("doc_id", "position", d.alias("distance"), (F.col("position") + window).alias("end_position"))
+
+    def _named(self, level: str) -> DataFrame:
+        if level not in ("author", "document"):
+            raise ValueError("level is author or document")
+        return self._ready().centroids.select(F.col("author").alias("word"), "vec") if level == "author" else self._vectors().select(F.col("doc_id").alias("word"), "vec")
 
     def distance_matrix(self, level: str = "document") -> DataFrame:
         """(a, b, distance) for all ordered pairs, a <> b."""
-        f = self._ready()
-        v = f.centroids.select(F.col("author").alias("k"), "feature", "value") if level == "author" else f.vectors.select(F.col("doc_id").alias("k"), "feature", "value")
-        pairs = v.toDF("a", "feature", "x").join(v.toDF("b", "feature", "y"), "feature").where("a <> b")
-        return pair_distance(pairs, ["a", "b"], self.distance_name)
-
-    def most_similar(self, doc_id, k: int = 10) -> DataFrame:
-        """(doc_id, distance, similarity) of the k nearest other documents."""
-        v = self._ready().vectors
-        q = v.where(F.col("doc_id") == doc_id).select("feature", F.col("value").alias("x"))
-        d = pair_distance(v.where(F.col("doc_id") != doc_id).withColumnRenamed("value", "y").join(F.broadcast(q), "feature"), ["doc_id"], self.distance_name)
-        s = 1 - F.col("distance") if self.distance_name == "cosine" else 1 / (1 + F.col("distance"))
-        return d.withColumn("similarity", s).orderBy("distance", "doc_id").limit(k)
-
-    def author_profile(self, author: str) -> DataFrame:
-        return self._ready().centroids.where(F.col("author") == author).select("feature", "value").orderBy(F.desc("value"), "feature")
+        v = self._named(level)
+        return distances(v, v, (self.distance_name,)).where("a <> b").withColumnRenamed(self.distance_name, "distance")
+
+    def _query(self, what) -> tuple[list[float], bool]:
+        """The vector of a fitted document's id or of a list of tokens, and whether it is the former."""
+        if isinstance(what, (list, tuple)):
+            spark = self._ready().relative.sparkSession
+            return self.arrays(spark.createDataFrame([(0, list(what))], "doc_id bigint, tokens array<string>")).first()["vec"], False
+        row = self._vectors().where(F.col("doc_id") == what).select("vec").first()
+        if row is None:
+            raise ValueError(f"unknown document {what!r}")
+        return row["vec"], True
+
+    def most_similar(self, what, k: int = 10, level: str = "document") -> DataFrame:
+        """(doc_id, distance, similarity) of the documents, or (author, ...) of the authors, nearest to a fitted document, given by its id, or to a list of tokens; a document isn't its own neighbour."""
+        vec, fitted = self._query(what)
+        v = self._named(level)
+        d = DISTANCES[self.distance_name](F.col("vec"), literal(vec))
+        rows = v.where(F.col("word") != what) if fitted and level == "document" else v
+        out = rows.select(F.col("word").alias("doc_id" if level == "document" else "author"), d.alias("distance"))
+        return out.withColumn("similarity", distance_to_similarity(F.col("distance"), self.distance_name)).orderBy("distance", out.columns[0]).limit(k)
+
+    def distance(self, a, b) -> float:
+        """Between two documents, each an id or a list of tokens."""
+        x, y = (np.array([self._query(w)[0]], float) for w in (a, b))
+        return float(BLOCKS[self.distance_name](x, y)[0, 0])
+
+    def similarity(self, a, b) -> float:
+        d = self.distance(a, b)
+        return 1 - d if self.distance_name == "cosine" else 1 / (1 + d)
+
+    def author_profile(self, author: str | None = None) -> DataFrame:
+        """(author, feature, value) of one author or of all, the greatest values first."""
+        c = self._ready().centroids
+        rows = self._long(c if author is None else c.where(F.col("author") == author), ["author"])
+        return rows.orderBy("author", F.desc("value"), "feature")
 
     def feature_comparison(self) -> DataFrame:
         """(feature, a column for each author, variance): the sample variance across authors, the greatest first."""
-        c = self._ready().centroids
+        c = self._long(self._ready().centroids, ["author"])
         var = c.groupBy("feature").agg(F.var_samp("value").alias("variance"))
         return c.groupBy("feature").pivot("author").agg(F.first("value")).join(var, "feature").orderBy(F.desc("variance"), "feature")
 
+    def _svm(self, rows: DataFrame, labels: list[str]) -> list[tuple[np.ndarray, float]]:
+        """Weights and intercept of each author against the rest, of (author, features)."""
+        from pyspark.ml.classification import LinearSVC
+
+        out = []
+        for a in labels:
+            m = LinearSVC(maxIter=1000, tol=1e-6).fit(rows.withColumn("label", (F.col("author") == a).cast("double")))
+            out.append((m.coefficients.toArray(), float(m.intercept)))
+        return out
+
+    def _features(self) -> tuple[DataFrame, list[str]]:
+        from pyspark.ml.functions import array_to_vector
+
+        rows = written(self._vectors().withColumn("features", array_to_vector("vec")).withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3))), "svm").persist()
+        return rows, sorted(r[0] for r in rows.select("author").distinct().collect())
+
+    def _margins(self, rows: DataFrame, models: list[tuple[np.ndarray, float]]) -> Column:
+        return F.array(*[F.aggregate(F.zip_with("vec", literal(w), lambda x, y: x * y), F.lit(b), lambda s, x: s + x) for w, b in models])
+
     def svm_predict(self, docs: DataFrame) -> DataFrame:
         """(doc_id, author) by one-versus-rest linear SVMs on the document vectors. Margins differ from those of other solvers; the classes seldom do."""
-        from pyspark.ml.classification import LinearSVC, OneVsRest
-        from pyspark.ml.feature import IndexToString, StringIndexer
+        rows, labels = self._features()
+        models = self._svm(rows, labels)
+        rows.unpersist()
+        best = F.array_position("m", F.array_max("m"))
+        return self.arrays(docs).select("doc_id", self._margins(rows, models).alias("m")).select("doc_id", F.element_at(F.array(*map(F.lit, labels)), best.cast("int")).alias("author"))
+
+    def svm_probabilities(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, author, probability): Platt's sigmoids over margins of documents that weren't trained on (three folds), brought to a sum of 1."""
+        from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.functions import array_to_vector
 
-        wide = lambda v, keys: v.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda s: s["value"]).alias("a")).withColumn("features", array_to_vector("a"))
-        rows = written(self._ready().vectors, "vectors")  # read in every iteration
-        index = StringIndexer(inputCol="author", outputCol="label").fit(rows)
-        model = OneVsRest(classifier=LinearSVC(maxIter=1000, tol=1e-6)).fit(index.transform(wide(rows, ["doc_id", "author"])).select("label", "features").coalesce(4).persist())
-        return IndexToString(inputCol="prediction", outputCol="author", labels=index.labels).transform(model.transform(wide(self.transform(docs), ["doc_id"]))).select("doc_id", "author")
+        rows, labels = self._features()
+        models = self._svm(rows, labels)
+        held = None
+        for fold in range(3):
+            part = rows.where(F.col("fold") == fold)
+            part = part.select("author", self._margins(part, self._svm(rows.where(F.col("fold") != fold), labels)).alias("m"))
+            held = part if held is None else held.unionByName(part)
+        held = written(held, "margins")
+        sigmoids = []
+        for k, a in enumerate(labels):
+            one = held.select((F.col("author") == a).cast("double").alias("label"), array_to_vector(F.array(F.get("m", F.lit(k)))).alias("features"))
+            fit = LogisticRegression(maxIter=200).fit(one)
+            sigmoids.append((float(fit.coefficients[0]), float(fit.intercept)))
+        rows.unpersist()
+        p = [1 / (1 + F.exp(-(F.get("m", F.lit(k)) * w + b))) for k, (w, b) in enumerate(sigmoids)]
+        out = self.arrays(docs).select("doc_id", self._margins(rows, models).alias("m")).select("doc_id", F.array(*p).alias("p"))
+        total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+        return out.select("doc_id", total.alias("t"), F.posexplode("p").alias("i", "x")).select("doc_id", F.get(F.array(*map(F.lit, labels)), F.col("i")).alias("author"), (F.col("x") / F.nullif("t", F.lit(0.0))).alias("probability"))
 
     def hierarchical_clustering(self, method: str = "average", level: str = "author", max_items: int = 5000) -> tuple[np.ndarray, list]:
         """Linkage rows (a, b, distance, size) and the labels; the matrix of at most max_items items is on the driver."""
-        rows = self.distance_matrix(level).collect()
-        names = sorted({r["a"] for r in rows})
-        if len(names) > max_items:
-            raise ValueError(f"more than {max_items} items")
         if method == "ward" and self.distance_name != "euclidean":
             raise ValueError("ward needs euclidean distances")
-        at = {n: i for i, n in enumerate(names)}
-        d = np.zeros((len(names), len(names)))
-        for r in rows:
-            d[at[r["a"]], at[r["b"]]] = r["distance"]
-        return linkage(d, method), names
+        rows = self._named(level).limit(max_items + 1).collect()
+        if len(rows) > max_items:
+            raise ValueError(f"more than {max_items} items")
+        rows.sort(key=lambda r: r["word"])
+        x = np.array([r["vec"] for r in rows], float)
+        return linkage(BLOCKS[self.distance_name](x, x), method), [r["word"] for r in rows]
 
 
 def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.stats import chi2_stat, g2_stat
 from ..functions.tokens import chunks, ngrams, tokenized
-from ..functions.vectors import DISTANCES, cosine_similarity
+from ..functions.vectors import cosine_similarity
 from ..operators import collocation, cooc, corpus, embeddings, keyness, lexical, normalize, reuse, segment, topics, vectors
 from ..operators.stylometry import METRICS, Stylometry
 
@@ -27,9 +27,13 @@ def split_by_quality(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).join(q, "doc_id").select("side", F.explode("tokens").alias("token"))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, and -0.0 as 0.0, so that engines agree."""
-    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, **of: int) -> DataFrame:
+    """Doubles rounded (columns named in of to so many digits), and -0.0 as 0.0, so that engines agree."""
+    return df.select(*[(F.round(F.col(c), of.get(c, digits)) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+#: p-values: logarithms of factorials are sums of some millions, of which engines have ten digits.
+P = {"p_value": 4, "adjusted_p_value": 4}
 
 
 def stylometry(s: SparkSession, d: str, **how) -> tuple[Stylometry, DataFrame]:
@@ -103,6 +107,11 @@ def q_lines(s, d):
     return segment.segment(table(s, d, "documents"), strategy="line", how="blanks", min_word_length=2).select("doc_id", F.col("unit"), F.array_join("tokens", " ").alias("line"))
 
 
+SQL_LINES = r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS s FROM documents),
+u AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS unit, unnest(s) AS line FROM l)
+SELECT doc_id, unit, array_to_string(list_filter(regexp_extract_all(line, '[^\s\x1c-\x1f]+'), lambda t: length(t) >= 2), ' ') AS line FROM u"""
+
+
 def q_sentences(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.posexplode(segment.sentences(F.col("text"))).alias("k", "sentence"))
 
@@ -125,7 +134,7 @@ SELECT lang, CAST(sum(least(n, room)) AS BIGINT) AS n_tokens, count(*) AS n_docs
 
 
 def keyness_query(method, correction=None, filters=None, with_p=False):
-    return lambda s, d: rounded(keyness.compare_corpora(split_by_quality(s, d), method=method, correction=correction, filters=filters or {"min_count": 3}, with_p=with_p))
+    return lambda s, d: rounded(keyness.compare_corpora(split_by_quality(s, d), method=method, correction=correction, filters=filters or {"min_count": 3}, with_p=with_p), **P)
 
 
 KEY = r"""WITH x AS (SELECT CASE WHEN l.quality = 1 THEN 'a' ELSE 'b' END AS side, unnest(regexp_extract_all(lower(d.text), '\p{L}+')) AS w FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
@@ -143,8 +152,27 @@ def chi_sql(yates: bool) -> str:
 
 
 G2_SQL = "2 * (" + " + ".join(f"CASE WHEN o{x} > 0 THEN o{x} * ln(o{x} / e{x}) ELSE 0 END" for x in "abcd") + ")"
-FISHER_TERMS = """, lf AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS k FROM e),
-terms AS (SELECT word, a, k, i, a + b AS r, a + c AS m, d - a AS q, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM lf)"""
+
+
+def log_probability(x: str) -> str:
+    return f"lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma({x} + 1) - lgamma(a + b - {x} + 1) - lgamma(a + c - {x} + 1) - lgamma(d - a + {x} + 1)"
+
+
+def fisher_sql(cells: str, keys: str, alternative: str = "two-sided") -> str:
+    """CTE fisher (keys, p): the test by its definition, over all tables with the same margins."""
+    low, at = ("a", "true") if alternative == "greater" else ("greatest(0, a - d)", "lp <= own + 1e-8")
+    return f""", support AS (SELECT {keys}, a, b, c, d, {log_probability("a")} AS own, unnest(range({low}, least(a + b, a + c) + 1)) AS x FROM {cells}),
+chance AS (SELECT {keys}, own, {log_probability("x")} AS lp FROM support), fisher AS (SELECT {keys}, least(1, sum(exp(lp)) FILTER ({at})) AS p FROM chance GROUP BY {keys})"""
+
+
+def adjusted_sql(method: str) -> str:
+    """Of p over the rows of the table it stands in."""
+    if method == "bonferroni":
+        return "least(1, p * count(*) OVER ())"
+    return "least(1, min(q) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+
+
+KEY_FISHER = KEY + fisher_sql("e", "word") + ", w AS (SELECT e.*, p, row_number() OVER (ORDER BY p) AS k, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q FROM e JOIN fisher USING (word))"
 
 
 # ---- collocation and concordance
@@ -170,13 +198,32 @@ def cells(method, horizon=3):
 
 
 def q_find_collocates(s, d):
-    return rounded(collocation.find_collocates(docs(s, d), TARGETS, horizon=(2, 3), filters={"min_obs_local": 20}, correction="fdr_bh", max_length=None))
+    return rounded(collocation.find_collocates(docs(s, d), TARGETS, horizon=(2, 3), filters={"min_obs_local": 20}, correction="fdr_bh", max_length=None), **P)
+
+
+# a horizon is relative to the target
+FIND_SQL = (
+    WINDOW_SQL.replace("{left}", "2").replace("{right}", "3")
+    + ", kept AS (SELECT * FROM cells WHERE a >= 20)"
+    + fisher_sql("kept", "target, collocate", "greater")
+    + """, w AS (SELECT kept.*, p, row_number() OVER (ORDER BY p) AS k, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q, CAST(a + b AS DOUBLE) * (a + c) / (a + b + c + d) AS e FROM kept JOIN fisher USING (target, collocate))
+SELECT target, collocate, round(e, 6) AS exp_local, a AS obs_local, round(a / e, 6) AS ratio_local, a + c AS obs_global, round(p, 4) + 0.0 AS p_value, """
+    + f"round({adjusted_sql('fdr_bh')}, 4) + 0.0 AS adjusted_p_value FROM w"
+)
 
 
 def q_compare_collocates(s, d):
     return rounded(collocation.compare_collocates(docs(s, d, "lang = 'en'"), docs(s, d, "lang <> 'en'"), ["the", "de"], filters={"min_obs_local": 5}, horizon=2, max_length=None).drop("p_value_a", "p_value_b"))
 
 
+def _compare_sql() -> str:
+    side = lambda where: WINDOW_SQL.replace(words_sql(TARGETS), words_sql(["the", "de"])).replace("{left}", "2").replace("{right}", "2").replace("FROM documents)", f"FROM documents WHERE {where})") + " SELECT target, collocate, a AS obs, a / (CAST(a + b AS DOUBLE) * (a + c) / (a + b + c + d)) AS ratio FROM cells WHERE a >= 5"
+    return f"""WITH x AS ({side("lang = 'en'")}), y AS ({side("lang <> 'en'")}), z AS (SELECT coalesce(x.target, y.target) AS target, coalesce(x.collocate, y.collocate) AS collocate, x.ratio AS ra, y.ratio AS rb, x.obs AS oa, y.obs AS ob,
+CASE WHEN x.ratio > 0 AND y.ratio > 0 THEN log2(y.ratio / x.ratio) END AS g FROM x FULL JOIN y ON x.target = y.target AND x.collocate = y.collocate)
+SELECT target, collocate, round(ra, 6) AS ratio_a, round(rb, 6) AS ratio_b, round(g, 6) AS log_ratio_change, coalesce(oa, 0) AS obs_a, coalesce(ob, 0) AS obs_b,
+CASE WHEN oa IS NULL THEN 'appeared' WHEN ob IS NULL THEN 'disappeared' WHEN g > 0.1 THEN 'strengthened' WHEN g < -0.1 THEN 'weakened' ELSE 'stable' END AS status FROM z"""
+
+
 def kwic_query(sort, max_results=None):
     def q(s, d):
         k = collocation.kwic(docs(s, d), ["worthless", "pathetic", "license"], horizon=(4, 2), sort=sort, max_results=max_results, max_length=None)
@@ -192,34 +239,28 @@ FROM t JOIN i ON i.doc_id = t.doc_id WHERE t.token IN ('worthless', 'pathetic',
 
 # ---- matrices
 
-COOC_SQL = f"""{ONE}, w AS (SELECT doc_id, pos, token FROM t WHERE token IN ({words_sql(WORDS)})),
-m AS (SELECT a.token AS row_word, b.token AS col_word, count(*) AS value FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos <> a.pos AND b.pos BETWEEN a.pos - 2 AND a.pos + 3 GROUP BY ALL)"""
+COOC_SQL = f"""{ONE}, m AS (SELECT a.token AS row_word, b.token AS col_word, count(*) AS value FROM (SELECT doc_id, token, pos, unnest([-2, -1, 1, 2, 3]) AS k FROM t) a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + a.k GROUP BY ALL)"""
 
 
-def cooc_small(s, d, method="window"):
-    return cooc.cooc_of_words(docs(s, d), WORDS, method=method, horizon=(2, 3))
+def q_cooc(s, d, method="window"):
+    return cooc.cooc_matrix(docs(s, d), method=method, horizon=(2, 3))
 
 
-COOC_DOC_SQL = f"""{ONE}, w AS (SELECT doc_id, token, count(*) AS n FROM t WHERE token IN ({words_sql(WORDS)}) GROUP BY ALL)
+COOC_DOC_SQL = f"""{ONE}, w AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL)
 SELECT a.token AS row_word, b.token AS col_word, CAST(sum(a.n * b.n) AS BIGINT) AS value FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.token <> b.token GROUP BY ALL"""
 
 
-def cooc_whole(s, d, method="window"):
-    """Over the whole vocabulary; cooc_small() has the words of the SQL."""
-    return cooc.cooc_matrix(docs(s, d), method=method, horizon=(2, 3))
-
-
-def q_ppmi(s, d, matrix=cooc_whole):
-    return rounded(cooc.to_ppmi(matrix(s, d), 0.75))
+def q_ppmi(s, d):
+    return rounded(cooc.to_ppmi(q_cooc(s, d), 0.75), 4)
 
 
 PPMI_SQL = COOC_SQL + """, r AS (SELECT row_word, sum(value) AS r FROM m GROUP BY 1), c AS (SELECT col_word, pow(sum(value), 0.75) AS c FROM m GROUP BY 1),
 p AS (SELECT m.row_word, m.col_word, log2(m.value * (SELECT sum(c) FROM c) / (r.r * c.c)) AS value FROM m JOIN r USING (row_word) JOIN c USING (col_word))
-SELECT row_word, col_word, round(value, 6) AS value FROM p WHERE value > 0"""
+SELECT row_word, col_word, round(value, 4) AS value FROM p WHERE value > 0"""
 
 
-def q_cooc_sums(s, d, matrix=cooc_whole):
-    return cooc.all_sums(matrix(s, d))
+def q_cooc_sums(s, d):
+    return cooc.all_sums(q_cooc(s, d))
 
 
 COOC_SUMS_SQL = COOC_SQL + " SELECT row_word, col_word, CAST(sum(value) AS BIGINT) AS value, count(*) AS nnz FROM m GROUP BY GROUPING SETS ((row_word), (col_word), ())"
@@ -229,13 +270,8 @@ def q_glove_cooc(s, d):
     return rounded(embeddings.glove_cooc(docs(s, d), 5))
 
 
-def q_glove_cooc_of_words(s, d):
-    inside = docs(s, d).select(F.filter("tokens", lambda t: t.isin(WORDS)).alias("tokens"))
-    return rounded(embeddings.glove_cooc(inside, 5))
-
-
-GLOVE_SQL = f"""{ONE}, w AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM t WHERE token IN ({words_sql(WORDS)}))
-SELECT a.token AS row_word, b.token AS col_word, round(sum(1.0 / abs(a.k - b.k)::DOUBLE), 6) AS x FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.k <> b.k AND abs(a.k - b.k) <= 5 GROUP BY ALL"""
+GLOVE_SQL = f"""{ONE} SELECT a.token AS row_word, b.token AS col_word, round(sum(1.0::DOUBLE / abs(a.k)), 6) AS x FROM (SELECT doc_id, token, pos, unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS k FROM t) a
+JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + a.k GROUP BY ALL"""
 
 
 # ---- lexical measures
@@ -263,6 +299,12 @@ def q_mattr(s, d):
     return rounded(lexical.mattr(docs(s, d), 50))
 
 
+# an occurrence counts in the windows that hold it but not the one before
+MATTR_SQL = f"""{ONE}, n AS (SELECT doc_id, len(tokens) AS n FROM d), p AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id, token ORDER BY pos) AS before FROM t),
+s AS (SELECT doc_id, sum(greatest(0, least(p.pos, n.n - 50) - greatest(coalesce(before + 1, 0), p.pos - 49, 0) + 1)) AS types FROM p JOIN n USING (doc_id) WHERE n >= 50 GROUP BY doc_id)
+SELECT n.doc_id, round(types / ((n - 49) * 50)::DOUBLE, 6) AS mattr FROM n LEFT JOIN s USING (doc_id)"""
+
+
 def q_rolling_average(s, d):
     e = table(s, d, "events")
     r = lexical.rolling_average(e, "value", 5, ["ts", "event_id"], ["user_id"], "truncate")
@@ -277,12 +319,7 @@ def q_relative_frequencies(s, d):
     return rounded(lexical.relative_frequencies(docs(s, d), "lang"), 8)
 
 
-def q_relative_frequencies_frequent(s, d):
-    """The rows that the SQL has: words of 20 occurrences in their language."""
-    return q_relative_frequencies(s, d).where("n >= 20")
-
-
-RELATIVE_SQL = f"{ONE} SELECT * FROM (SELECT lang, token, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY lang) AS DOUBLE), 8) AS rel_freq FROM t GROUP BY lang, token) WHERE n >= 20"
+RELATIVE_SQL = f"{ONE} SELECT lang, token, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY lang) AS DOUBLE), 8) AS rel_freq FROM t GROUP BY lang, token"
 
 
 # ---- stylometry
@@ -325,8 +362,15 @@ SELECT doc_id, author, round(distance, 5) AS distance FROM (SELECT *, row_number
 
 
 def q_style_comparison(s, d):
+    """Authors as rows: their columns are named by the data."""
     c = stylometry(s, d)[0].feature_comparison()
-    return rounded(c.select("feature", "variance"))
+    authors = [x for x in c.columns if x not in ("feature", "variance")]
+    long = c.unpivot(["feature", "variance"], authors, "author", "value")
+    return rounded(long, 5)
+
+
+def q_style_profile(s, d):
+    return rounded(stylometry(s, d)[0].author_profile())
 
 
 def q_style_rolling(s, d):
@@ -382,24 +426,27 @@ def vecs(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vec"), "label")
 
 
-def q_cosine_topk(s, d, where="true"):
+#: What a search looks for: the rows whose id is divisible by 50, against all rows.
+ASKED = "word % 50 = 0"
+
+
+def q_cosine_topk(s, d):
     v = vecs(s, d)
-    return rounded(vectors.most_similar(v.where(where), v, 5).select("query", "word", "similarity"), 5)
+    return rounded(vectors.most_similar(v.where(ASKED), v, 5).select("query", "word", "similarity"), 5)
 
 
 COSINE_SQL = """SELECT query, word, round(s, 5) AS similarity FROM (SELECT a.vec_id AS query, b.vec_id AS word, s, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS r
-FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s) WHERE a.label = 0) WHERE r <= 5"""
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s) WHERE a.vec_id % 50 = 0) WHERE r <= 5"""
 
 
-def q_vector_distances(s, d, of_a="true", of_b="true"):
+def q_vector_distances(s, d):
     v = vecs(s, d)
-    x, y = v.where(of_a).select(F.col("word").alias("a"), F.col("vec").alias("x")), v.where(of_b).select(F.col("word").alias("b"), F.col("vec").alias("y"))
-    return rounded(x.crossJoin(y).select("a", "b", *[f(F.col("x"), F.col("y")).alias(k) for k, f in DISTANCES.items()]), 5)
+    return rounded(vectors.distances(v.where(ASKED), v), 5)
 
 
 DISTANCES_SQL = """SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(x, y), 5) AS cosine, round(list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))) / 64, 5) AS burrows_delta,
  round(list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))), 5) AS manhattan, round(list_distance(x, y), 5) AS euclidean, round(sqrt(pow(list_distance(x, y), 2) / 64), 5) AS eder_delta
-FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE label = 1) a, (SELECT vec_id, embedding::DOUBLE[] AS y FROM embeddings WHERE label = 2) b"""
+FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 50 = 0) a, (SELECT vec_id, embedding::DOUBLE[] AS y FROM embeddings) b"""
 
 
 def q_bias(s, d):
@@ -483,16 +530,16 @@ NPMI_SQL = TOPIC_SQL + " SELECT topic, round(avg(CASE WHEN n = total THEN 1 ELSE
 
 
 def q_lda(s, d):
-    m = topics.LDA(10, iterations=100, max_vocab=None, estimate_alpha=1).fit(docs(s, d))
+    m = topics.LDA(10, iterations=100, estimate_alpha=1).fit(docs(s, d))
     return m.document_topics()
 
 
 def q_word2vec(s, d):
-    return embeddings.Word2Vec(size=100, min_count=5, cbow=True, max_vocab=None).train(docs(s, d)).vectors(s)
+    return embeddings.Word2Vec(size=100, min_count=5, cbow=True).train(docs(s, d)).vectors(s)
 
 
 def q_glove(s, d):
-    return embeddings.GloVe(size=100, min_count=5, max_vocab=None, max_pairs=1_000_000_000).train(docs(s, d)).vectors(s)
+    return embeddings.GloVe(size=100, min_count=5).train(docs(s, d)).vectors(s)
 
 
 QUERIES = {
@@ -504,45 +551,40 @@ QUERIES = {
     "ngrams": (q_ngrams, SQL_NGRAMS),
     "chunks_overlap": (q_chunks, SQL_CHUNKS),
     "char_chunks": (q_char_chunks, SQL_CHAR_CHUNKS),
-    "line_tokens": (q_lines, None),
+    "line_tokens": (q_lines, SQL_LINES),
     "sentences": (q_sentences, SQL_SENTENCES),
     "balanced_periods": (q_balanced, SQL_BALANCED),
     "keyness_g2": (keyness_query("log_likelihood"), f"{KEY} {KEY_OUT}, round({G2_SQL}, 6) AS statistic FROM e"),
     "keyness_chi2": (keyness_query("chi2"), f"{KEY} {KEY_OUT}, round({chi_sql(False)}, 6) AS statistic FROM e"),
     "keyness_chi2_yates": (keyness_query("chi2_corrected"), f"{KEY} {KEY_OUT}, round({chi_sql(True)}, 6) AS statistic FROM e"),
-    "keyness_fisher": (keyness_query("fisher", with_p=True), None),
-    "keyness_bh": (keyness_query("log_likelihood", "fdr_bh", with_p=True), None),
-    "keyness_bonferroni": (keyness_query("fisher", "bonferroni", with_p=True), None),
+    "keyness_fisher": (keyness_query("fisher", with_p=True), f"{KEY_FISHER} {KEY_OUT}, round(p, 4) + 0.0 AS p_value FROM w"),
+    "keyness_bh": (keyness_query("fisher", "fdr_bh", with_p=True), f"{KEY_FISHER} {KEY_OUT}, round(p, 4) + 0.0 AS p_value, round({adjusted_sql('fdr_bh')}, 4) + 0.0 AS adjusted_p_value FROM w"),
+    "keyness_bonferroni": (keyness_query("fisher", "bonferroni", with_p=True), f"{KEY_FISHER} {KEY_OUT}, round(p, 4) + 0.0 AS p_value, round({adjusted_sql('bonferroni')}, 4) + 0.0 AS adjusted_p_value FROM w"),
     "collocates_window": (cells("window"), WINDOW_SQL.replace("{left}", "3").replace("{right}", "3") + CELLS_OUT),
     "collocates_asym": (cells("window", (1, 4)), WINDOW_SQL.replace("{left}", "1").replace("{right}", "4") + CELLS_OUT),
     "collocates_sentence": (cells("sentence"), SENTENCE_SQL + CELLS_OUT),
-    "find_collocates": (q_find_collocates, None),
-    "compare_collocates": (q_compare_collocates, None),
+    "find_collocates": (q_find_collocates, FIND_SQL),
+    "compare_collocates": (q_compare_collocates, _compare_sql()),
     "kwic_right": (kwic_query("right"), KWIC_SQL),
     "kwic_left": (kwic_query("left"), KWIC_SQL),
     "kwic_position": (kwic_query("position"), KWIC_SQL),
-    "cooc_window": (cooc_whole, None),
-    "cooc_window_of_words": (cooc_small, COOC_SQL + " SELECT * FROM m"),
-    "cooc_document": (lambda s, d: cooc_whole(s, d, "document"), None),
-    "cooc_document_of_words": (lambda s, d: cooc_small(s, d, "document"), COOC_DOC_SQL),
+    "cooc_window": (q_cooc, COOC_SQL + " SELECT * FROM m"),
+    "cooc_document": (lambda s, d: q_cooc(s, d, "document"), COOC_DOC_SQL),
     "cooc_full_window": (lambda s, d: cooc.cooc_matrix(docs(s, d), horizon=(0, 1)), f"{ONE} SELECT a.token AS row_word, b.token AS col_word, count(*) AS value FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 GROUP BY ALL"),
-    "cooc_sums": (q_cooc_sums, None),
-    "cooc_sums_of_words": (lambda s, d: q_cooc_sums(s, d, cooc_small), COOC_SUMS_SQL),
-    "ppmi": (q_ppmi, None),
-    "ppmi_of_words": (lambda s, d: q_ppmi(s, d, cooc_small), PPMI_SQL),
-    "glove_cooc": (q_glove_cooc, None),
-    "glove_cooc_of_words": (q_glove_cooc_of_words, GLOVE_SQL),
+    "cooc_sums": (q_cooc_sums, COOC_SUMS_SQL),
+    "ppmi": (q_ppmi, PPMI_SQL),
+    "glove_cooc": (q_glove_cooc, GLOVE_SQL),
     "ttr_variants": (q_ttr, TTR_SQL),
     "yule_k": (q_vocabulary_stats, STATS_SQL),
-    "mattr_50": (q_mattr, None),
+    "mattr_50": (q_mattr, MATTR_SQL),
     "rolling_avg": (q_rolling_average, ROLLING_SQL),
-    "relative_frequencies": (q_relative_frequencies, None),
-    "relative_frequencies_frequent": (q_relative_frequencies_frequent, RELATIVE_SQL),
+    "relative_frequencies": (q_relative_frequencies, RELATIVE_SQL),
     "stylo_zscore": (q_style_features, STYLE + " SELECT doc_id, author, feature, round(value, 6) + 0.0 AS value FROM z"),
     "stylo_tfidf": (q_style_tfidf, STYLE + " SELECT doc_id, author, feature, round(rel * idf, 6) + 0.0 AS value FROM rel JOIN st USING (feature)"),
     **{f"stylo_distance_{m}": (style_distance(m), STYLE + f" SELECT x.author AS a, y.author AS b, round({DIST_SQL[m]}, 6) AS distance FROM cen x JOIN cen y ON x.feature = y.feature AND x.author <> y.author GROUP BY x.author, y.author") for m in METRICS},
     "stylo_predict": (q_style_predict, STYLE_PREDICT_SQL),
-    "stylo_profile": (q_style_comparison, STYLE + " SELECT feature, round(var_samp(value), 6) AS variance FROM cen GROUP BY feature"),
+    "stylo_profile": (q_style_profile, STYLE + " SELECT author, feature, round(value, 6) + 0.0 AS value FROM cen"),
+    "stylo_comparison": (q_style_comparison, STYLE + " SELECT feature, author, round(value, 5) + 0.0 AS value, round(var_samp(value) OVER (PARTITION BY feature), 5) AS variance FROM cen"),
     "stylo_rolling": (q_style_rolling, STYLE_ROLLING_SQL),
     "stylo_bootstrap": (q_style_bootstrap, None),
     "stylo_svm": (q_style_svm, None),
@@ -550,10 +592,8 @@ QUERIES = {
     "reuse_seeds": (lambda s, d: reuse.seeds(*reuse_sides(s, d), 5), REUSE_SQL + " SELECT * FROM s"),
     "reuse_islands": (lambda s, d: reuse.islands(reuse.seeds(*reuse_sides(s, d), 5)), ISLAND_SQL),
     "reuse_passages": (lambda s, d: reuse.find_shared_sequences(*reuse_sides(s, d)), None),
-    "cosine_topk": (q_cosine_topk, None),
-    "cosine_topk_of_label": (lambda s, d: q_cosine_topk(s, d, "label = 0"), COSINE_SQL),
-    "vector_distance_matrix": (q_vector_distances, None),
-    "vector_distance_matrix_of_labels": (lambda s, d: q_vector_distances(s, d, "label = 1", "label = 2"), DISTANCES_SQL),
+    "cosine_topk": (q_cosine_topk, COSINE_SQL),
+    "vector_distance_matrix": (q_vector_distances, DISTANCES_SQL),
     "bias_projection": (q_bias, BIAS_SQL),
     "procrustes_align": (q_procrustes, PROCRUSTES_SQL),
     "temporal_drift": (q_drift, DRIFT_SQL),

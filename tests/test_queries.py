@@ -49,12 +49,12 @@ def test_matrices_of_the_whole_vocabulary(spark, folder):
         col[b] += n
     total = sum(c**0.75 for c in col.values())
     ppmi = {(a, b): math.log2(n * total / (row[a] * col[b] ** 0.75)) for (a, b), n in window.items()}
-    assert run("ppmi") == {k: pytest.approx(x, abs=1e-6) for k, x in ppmi.items() if x > 0}
+    assert run("ppmi") == {k: pytest.approx(x, abs=1e-4) for k, x in ppmi.items() if x > 0}
     assert run("cooc_sums") == {(a, None): n for a, n in row.items()} | {(None, b): n for b, n in col.items()} | {(None, None): sum(row.values())}
 
 
-def test_vector_queries_take_every_vector(spark, tmp_path):
-    x = np.random.default_rng(0).normal(size=(30, 64))
+def test_vector_queries_ask_every_fiftieth_vector_against_all(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(130, 64))
     spark.createDataFrame([(i, [float(v) for v in e], i % 7) for i, e in enumerate(x)], "vec_id bigint, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     sim = u @ u.T
@@ -62,6 +62,6 @@ def test_vector_queries_take_every_vector(spark, tmp_path):
     near = {}
     for r in QUERIES["cosine_topk"][0](spark, str(tmp_path)).collect():
         near.setdefault(r["query"], set()).add(r["word"])
-    assert near == {i: set(np.argsort(-sim[i])[:5].tolist()) for i in range(30)}
+    assert near == {i: set(np.argsort(-sim[i])[:5].tolist()) for i in (0, 50, 100)}
     got = {(r["a"], r["b"]): (r["cosine"], r["manhattan"]) for r in QUERIES["vector_distance_matrix"][0](spark, str(tmp_path)).collect()}
-    assert got == {(i, j): (pytest.approx(1 - u[i] @ u[j], abs=2e-5), pytest.approx(abs(x[i] - x[j]).sum(), abs=2e-5)) for i in range(30) for j in range(30)}
+    assert got == {(i, j): (pytest.approx(1 - u[i] @ u[j], abs=2e-5), pytest.approx(abs(x[i] - x[j]).sum(), abs=2e-5)) for i in (0, 50, 100) for j in range(130)}

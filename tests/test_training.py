@@ -38,6 +38,10 @@ def test_lda_gives_every_document_a_theta(spark):
 def test_registered_trainings_have_no_cap(spark, monkeypatch):
     from corpusmill.plans import queries
 
+    import inspect
+
+    for cls in (topics.LDA, embeddings.Word2Vec, embeddings.GloVe):
+        assert inspect.signature(cls.__init__).parameters["max_vocab"].default is None
     made = []
 
     class Spy:
@@ -52,7 +56,7 @@ def test_registered_trainings_have_no_cap(spark, monkeypatch):
         monkeypatch.setattr(module, name, Spy)
     for name in ("lda_fit", "w2v_train", "glove_train"):
         queries.QUERIES[name][0](spark, "")
-    assert all(how["max_vocab"] is None and how.get("min_count", 5) == 5 and how.get("min_doc_count", 1) == 1 for how in made)
+    assert all(how.get("max_vocab") is None and how.get("min_count", 5) == 5 and how.get("min_doc_count", 1) == 1 for how in made)
     assert made[0]["iterations"] == 100
 
 
