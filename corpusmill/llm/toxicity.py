@@ -1,9 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al. 2017).
 
-A linear classifier is fitted in numpy from confirmed toxic documents and unlabelled text: the risk is
+A linear classifier is fitted in numpy from confirmed toxic documents and unlabelled text, which is the whole corpus: the risk is
 prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)), so that toxic documents among the unlabelled
 aren't learnt as clean. Features are words and their first letters; those significantly more frequent in the positive
-documents take part. Scoring is a sum over a document's distinct words, in Arrow batches, without a shuffle.
+documents take part. Gradients of the unlabelled part are summed where the texts are, over cells of these features alone. Scoring is a sum over a document's distinct words, in Arrow batches, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sized, written
+from .common import remove, sized, written
 from .wordhash import WordReader
 
 STEMS, CLIP = (4, 5), 3
@@ -57,16 +57,13 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([out.get(r, (b"", b""))[k] for r in range(b.num_rows)], pa.binary()) for k in (0, 1))], names=["positive", "features", "times"])
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, seed: int) -> list:
-    """Bags of the fit sample: the first rows in the order of a seeded hash, at most so many of either kind. Labels other than confirmed toxic aren't used."""
+def positive_bags(docs: DataFrame, labels: DataFrame, max_positive: int, seed: int) -> list[tuple[bytes, bytes]]:
+    """Features and times of the confirmed toxic documents that are fitted on: the first max_positive in the order of a seeded hash."""
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    positive = ids.join(toxic, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(1).alias("positive"))
-    rest = ids.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("positive"))
-    chosen = written(positive.unionByName(rest), "fit")
-    rows = docs.join(sized(chosen, max_positive + max_unlabelled), "doc_id").select("positive", F.lower("text").alias("text")).mapInArrow(_bags, "positive int, features binary, times binary").toArrow()
-    return sorted(set(zip(*(rows[c].to_pylist() for c in ("positive", "features", "times")))))
+    chosen = written(ids.join(toxic, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_positive), "fit")
+    rows = docs.join(sized(chosen, max_positive), "doc_id").select(F.lit(1).alias("positive"), F.lower("text").alias("text")).mapInArrow(_bags, "positive int, features binary, times binary").toArrow()
+    return sorted(set(zip(*(rows[c].to_pylist() for c in ("features", "times")))))
 
 
 def lookup(names: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,62 +73,121 @@ def lookup(names: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[hit], hit
 
 
-def train(rows: list, prior: float, least_z: float = 4.0, least_docs: int = 4, most_features: int = 20_000, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """rows of (positive, features, times), packed. Returns the features in order, their weights and the bias; without positives or features, none and a negative bias."""
+def _frequencies(names: np.ndarray):
+    def run(batches):
+        """In how many texts each of names occurs; -1 stands for their number."""
+        reader, n, texts = WordReader(), np.zeros(len(names), np.int64), 0
+        for b in batches:
+            texts += b.num_rows
+            for _, feats, _ in text_features(b.column(0), reader):
+                n += np.bincount(lookup(names, feats)[0], minlength=len(names))
+        i = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, i]), pa.array(np.r_[texts, n[i]])], names=["i", "n"])
+
+    return run
+
+
+def _cells(names: np.ndarray):
+    def run(batches):
+        """The features in names that texts have, packed; texts without one only count."""
+        reader = WordReader()
+        for b in batches:
+            row, col, val, texts = [], [], [], 0
+            for rows, feats, times in text_features(b.column(0), reader):
+                k, hit = lookup(names, feats)
+                if len(k):
+                    at = np.unique(rows[hit], return_inverse=True)
+                    row.append(at[1].reshape(-1) + texts)
+                    texts += len(at[0])
+                    col.append(k.astype(np.int32))
+                    val.append(times[hit].astype(np.int8))
+            packed = [np.concatenate([*x, np.empty(0, t)]).astype(t).tobytes() for x, t in ((row, np.int32), (col, np.int32), (val, np.int8))]
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([texts]), *(pa.array([x], pa.binary()) for x in packed)], names=["texts", "with_cells", "row", "col", "val"])
+
+    return run
+
+
+CELLS = "texts bigint, with_cells bigint, row binary, col binary, val binary"
+
+
+class Sums:
+    """Loss and slopes of scores of a set of texts given by cells."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, texts: int, features: int):
+        self.row, self.col, self.val, self.texts, self.features = row, col, val.astype(float), texts, features
+
+    def of(self, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        """(loss if clean, loss's slope if clean, slope if toxic) summed, and the slopes' sums by feature, each as a row."""
+        s = np.clip(np.bincount(self.row, self.val * w[self.col], self.texts) + b, -60, 60)
+        up, down = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(s))  # slopes of log(1+e^s) and, but for the sign, of log(1+e^-s)
+        by = [np.bincount(self.col, self.val * g[self.row], self.features) for g in (up, down)]
+        return np.array([np.logaddexp(0, s).sum(), up.sum(), down.sum()]), np.stack(by)
+
+
+def _gradient(w: np.ndarray, b: float):
+    def run(batches):
+        total, by = np.zeros(3), np.zeros((2, len(w)))
+        for batch in batches:
+            for texts, some, row, col, val in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                t, g = Sums(np.frombuffer(row, np.int32), np.frombuffer(col, np.int32), np.frombuffer(val, np.int8), some, len(w)).of(w, b)
+                rest = texts - some  # they score the bias
+                total += t + rest * np.array([np.logaddexp(0, b), 1 / (1 + np.exp(-b)), 1 / (1 + np.exp(b))])
+                by += g
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(w))), pa.array(np.r_[total[:2], by[0]])], names=["i", "x"])
+
+    return run
+
+
+def train(positive: list[tuple[bytes, bytes]], texts: DataFrame, prior: float, least_z: float = 4.0, least_docs: int = 4, steps: int = 60, rate: float = 0.4, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """positive: bags; texts (text): all unlabelled text. Returns the features in order, their weights and the bias; without positives or features, none and a negative bias.
+
+    Features are those whose share among the positives is least_z standard errors above that among all texts. Each step is one pass over the cells of all texts.
+    """
     none = np.empty(0, np.uint64), np.empty(0), -1.0
-    kinds = np.array([p for p, _, _ in rows], bool)
-    if not kinds.any() or kinds.all():
+    if not positive:
         return none
-    n1, n0 = kinds.sum(), (~kinds).sum()
-
-    # exact counts, row by row: the driver never holds the unlabelled rows' cells as arrays
-    names, pos = np.unique(np.concatenate([np.frombuffer(f, np.uint64) for p, f, _ in rows if p]), return_counts=True)
+    names, pos = np.unique(np.concatenate([np.frombuffer(f, np.uint64) for f, _ in positive] + [np.empty(0, np.uint64)]), return_counts=True)
     names, pos = names[pos >= least_docs], pos[pos >= least_docs]
     if not len(names):
         return none
-    neg = np.zeros(len(names), np.int64)
-    for p, f, _ in rows:
-        if not p:
-            neg[lookup(names, np.frombuffer(f, np.uint64))[0]] += 1
+    counted = {r["i"]: r["n"] for r in texts.mapInArrow(_frequencies(names), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    n1, n0 = len(positive), counted.get(-1, 0)
+    neg = np.array([counted.get(i, 0) for i in range(len(names))])
     share = (pos + neg) / (n0 + n1)
-    z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
-    good = np.flatnonzero(z >= least_z)
-    good = np.sort(good[np.argsort(-z[good], kind="stable")][:most_features])
-    if not len(good):
+    z = (pos / n1 - neg / max(1, n0)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / max(1, n0) + 1 / n1))
+    at = names[z >= least_z]
+    if not len(at) or not n0:
         return none
-    at = names[good]
-    cells = []
-    for i, (_, f, t) in enumerate(rows):
-        k, hit = lookup(at, np.frombuffer(f, np.uint64))
-        cells.append((np.full(len(k), i), k, np.frombuffer(t, np.int8)[hit].astype(float)))
-    row, col, val = (np.concatenate([c[j] for c in cells]) for j in range(3))
+    found = [(*lookup(at, np.frombuffer(f, np.uint64)), np.frombuffer(t, np.int8)) for f, t in positive]
+    own = Sums(np.repeat(np.arange(n1), [len(k) for k, _, _ in found]), np.concatenate([k for k, _, _ in found]), np.concatenate([t[hit] for _, hit, t in found]), n1, len(at))
+    cells = written(texts.mapInArrow(_cells(at), CELLS), "cells")
     w, b = np.zeros(len(at)), -1.0
     m, v = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
     for step in range(1, steps + 1):
-        s = np.bincount(row, val * w[col], len(rows)) + b
-        down, up = 1 / (1 + np.exp(np.clip(s, -60, 60))), 1 / (1 + np.exp(-np.clip(s, -60, 60)))  # slopes of the losses log(1+e^-s) and log(1+e^s)
-        minus = np.logaddexp(0, s)
-        negative = minus[~kinds].mean() - prior * minus[kinds].mean()
-        g = np.zeros(len(rows))
-        if negative >= 0:
-            g[kinds] = -prior * down[kinds] / n1 - prior * up[kinds] / n1
-            g[~kinds] = up[~kinds] / n0
+        g = np.zeros(len(at) + 2)
+        for r in cells.mapInArrow(_gradient(w, b), "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            g[r["i"] + 2] = r["x"] / n0
+        total, by = own.of(w, b)
+        total, by = total / n1, by / n1
+        unlabelled, toxic_as_clean = np.r_[g[2:], g[1]], np.r_[by[0], total[1]]
+        if g[0] - prior * total[0] >= 0:
+            grad = unlabelled - prior * toxic_as_clean - prior * np.r_[by[1], total[2]]
         else:  # the corrected risk went below zero: step back along that part
-            g[kinds] = prior * up[kinds] / n1
-            g[~kinds] = -up[~kinds] / n0
-        grad = np.r_[np.bincount(col, val * g[row], len(at)) + l2 * w, g.sum()]
+            grad = prior * toxic_as_clean - unlabelled
+        grad[:-1] += l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        change = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - change[:-1], b - change[-1]
+    remove(cells)
     return at, w, float(b)
 
 
-def model(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, max_positive: int = 3000, max_unlabelled: int = 6000, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """max_positive and max_unlabelled bound the rows that the classifier is fitted on. prior: the toxic share; None: that of the labels, 0.1 without any of both kinds."""
+def model(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, max_positive: int = 3000, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """max_positive bounds the labelled rows that the classifier is fitted on; unlabelled text is all of docs. prior: the toxic share; None: that of the labels, 0.1 without any of both kinds."""
     if prior is None:
         share = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         prior = share if share and 0 < share < 1 else 0.1
-    return train(fit_rows(docs, labels, max_positive, max_unlabelled, seed), prior)
+    return train(positive_bags(docs, labels, max_positive, seed), docs.where("text IS NOT NULL").select(F.lower("text").alias("text")), prior)
 
 
 def _score(names: np.ndarray, weights: np.ndarray, bias: float):
@@ -161,7 +217,7 @@ def with_score(docs: DataFrame, fitted: tuple[np.ndarray, np.ndarray, float], na
 def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """(doc_id, score, toxic) of every row of docs; toxic is score > 0.
 
-    Null, empty and wordless texts score the bias, which is clean unless the fit says otherwise. Rows with a null id are scored too; they
+    A feature counts as many of a text's distinct words as have it, CLIP at most: prefixes of many words are no more than that. Long texts are read in pieces, as one text. Null, empty and wordless texts score the bias, which is clean unless the fit says otherwise. Rows with a null id are scored too; they
     aren't fitted on. Repeated rows get the same score. Without positive labels nothing is toxic. Other columns are ignored.
     """
     fitted = model(docs, labels, **how)
