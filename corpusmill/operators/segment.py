@@ -102,11 +102,113 @@ def register(name: str, factory: Callable[..., Callable[[list[str]], list[list[s
     REGISTRY[name] = factory
 
 
-register("dictionary", lambda dictionary: longest_match(dictionary))
+def user_words(source: list | dict | str | None) -> list[tuple]:
+    """Entries (word[, frequency or tag[, tag]]) of a list of words or tuples, of a dict of words and tags, or of a file with an entry a line."""
+    if source is None:
+        return []
+    if isinstance(source, dict):
+        return list(source.items())
+    if isinstance(source, str):
+        with open(source, encoding="utf-8") as f:
+            return [tuple(line.split()) for line in f if line.strip()]
+    return [(w,) if isinstance(w, str) else tuple(w) for w in source]
+
+
+def spacy_tokenizer(model: str = "zh_core_web_sm", disable: tuple[str, ...] = ("ner", "lemmatizer"), user_dict=None, batch_size: int = 200, longest: int = 100_000):
+    """Long texts are cut into pieces at end marks; words come with their coarse tags."""
+    import spacy
+
+    nlp = spacy.load(model, disable=list(disable))
+    if user_dict is not None:
+        nlp.tokenizer.pkuseg_update_user_dict([w[0] for w in user_words(user_dict)])
+
+    def run(texts: list[str]):
+        pieces = [large_pieces(t, longest) for t in texts]
+        found = iter(nlp.pipe((p for ps in pieces for p in ps), batch_size=batch_size))
+        return [[(t.text, t.pos_) for _ in ps for t in next(found)] for ps in pieces]
+
+    return run
+
+
+def jieba_tokenizer(user_dict=None, tags: bool = False):
+    import jieba
+
+    for w, *rest in user_words(user_dict):
+        freq = next((int(x) for x in rest if str(x).isdigit()), None)
+        jieba.add_word(w, freq, next((x for x in rest if not str(x).isdigit()), None))
+    if not tags:
+        return lambda texts: [list(jieba.cut(t)) for t in texts]
+    from jieba import posseg
+
+    return lambda texts: [[(w.word, w.flag) for w in posseg.cut(t)] for t in texts]
+
+
+def pkuseg_tokenizer(model_name: str = "default", user_dict=None, tags: bool = False):
+    import pkuseg
+
+    words = [w[0] for w in user_words(user_dict)]
+    seg = pkuseg.pkuseg(model_name=model_name, user_dict=words or "default", postag=tags)
+    return lambda texts: [[tuple(x) if tags else x for x in seg.cut(t)] for t in texts]
+
+
+def bert_tokenizer(model: str, labels: str = "BMES", batch_size: int = 8, longest: int = 510):
+    """Words from a model's tag for each character."""
+    from transformers import pipeline
+
+    tagger = pipeline("token-classification", model=model)
+
+    def run(texts: list[str]):
+        pieces = [[t[i : i + longest] for i in range(0, len(t), longest)] for t in texts]
+        out = iter(tagger([p for ps in pieces for p in ps], batch_size=batch_size))
+        words = []
+        for ps in pieces:
+            words.append([])
+            for p in ps:
+                tag = ["S"] * len(p)
+                for x in next(out):
+                    tag[x["start"]] = x["entity"][-1:] if x["entity"][-1:] in labels else x["entity"][:1]
+                words[-1] += merged_words(list(p), tag)
+        return words
+
+    return run
+
+
+def merged_words(chars: list[str], tags: list[str]) -> list[str]:
+    """Characters joined by B, M, E and S tags."""
+    out, open_ = [], ""
+    for c, t in zip(chars, tags):
+        if t in "BS" and open_:
+            out.append(open_)
+            open_ = ""
+        open_ += c
+        if t in "ES":
+            out.append(open_)
+            open_ = ""
+    return [*out, open_] if open_ else out
+
+
+def hanlp_tokenizer(model: str = "COARSE_ELECTRA_SMALL_ZH", user_dict=None):
+    import hanlp
+
+    tok = hanlp.load(getattr(hanlp.pretrained.tok, model, model))
+    if user_dict is not None:
+        tok.dict_combine = {w[0] for w in user_words(user_dict)}
+    return lambda texts: [list(x) for x in tok(list(texts))] if texts else []
+
+
+register("dictionary", lambda dictionary: longest_match([w[0] for w in user_words(dictionary)]))
+# each imports its library on the worker that runs it
+for _name, _factory in (("spacy", spacy_tokenizer), ("jieba", jieba_tokenizer), ("pkuseg", pkuseg_tokenizer), ("bert", bert_tokenizer), ("hanlp", hanlp_tokenizer)):
+    register(_name, _factory)
 
 
-def segment(docs: DataFrame, *, how: str = "words", strategy: str = "document", stopwords: list[str] | None = None, min_word_length: int = 1, text: str = "text", chunk_size: int = 512, overlap: float = 0.0, **options) -> DataFrame:
-    """docs with a unit number and tokens: a row per document, line, sentence or chunk."""
+def segment(docs: DataFrame, *, how: str = "words", strategy: str = "document", stopwords: list[str] | None = None, min_word_length: int = 1, text: str = "text", chunk_size: int = 512, overlap: float = 0.0, excluded_pos: list[str] | None = None, **options) -> DataFrame:
+    """docs with a unit number and tokens: a row per document, line, sentence or chunk. excluded_pos: tags whose words go, for tokenizers that give (word, tag); options are the tokenizer's."""
+    if excluded_pos and how in TOKENIZERS:
+        raise ValueError(f"{how!r} gives no tags")
+    if excluded_pos and how in ("jieba", "pkuseg"):
+        options["tags"] = True
+    out_pos = frozenset(excluded_pos or ())
     out = docs.withColumn("__units", units(F.col(text), strategy, chunk_size, overlap)).select("*", F.posexplode("__units").alias("unit", "__unit")).drop("__units")
     if how in TOKENIZERS:
         tokens = TOKENIZERS[how](F.col("__unit"))
@@ -117,7 +219,8 @@ def segment(docs: DataFrame, *, how: str = "words", strategy: str = "document",
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             f = factory(**options)
             for b in batches:
-                yield pa.array(f([t or "" for t in b.to_pylist()]), pa.list_(pa.string()))
+                found = f([t or "" for t in b.to_pylist()])
+                yield pa.array([[t if isinstance(t, str) else t[0] for t in ts if isinstance(t, str) or t[1] not in out_pos] for ts in found], pa.list_(pa.string()))
 
         tokens = run(F.col("__unit"))
     else:

@@ -59,6 +59,59 @@ def stopword_lists(folder: str) -> list[str]:
     return sorted(p.stem for p in Path(folder).glob("*.txt"))
 
 
+def bundled_stopwords(language: str) -> list[str]:
+    """The library's own list of common words of a language."""
+    if language not in STOPWORDS:
+        raise ValueError(f"no stopword list {language!r}: {stopword_languages()}")
+    return STOPWORDS[language].split()
+
+
+def stopword_languages() -> list[str]:
+    return sorted(STOPWORDS)
+
+
+STOPWORDS = {
+    "en": "a about after again all also am an and any are as at be because been before being between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your",
+    "de": "aber alle als also am an auch auf aus bei bin bis da das dass dem den der des die dies diese dieser doch du durch ein eine einem einen einer er es für hat habe haben hier ich ihm ihn ihr ihre im in ist ja kann kein keine man mehr mein mit nach nicht noch nun nur ob oder ohne sein seine sich sie sind so um und uns unter von vor war was weil wenn wer wie wir wird wo zu zum zur über",
+    "fr": "à au aux avec ce ces cette comme dans de des donc dont du elle elles en est et eu été il ils je la le les leur leurs lui mais me même mes mon ne nos notre nous on ont ou où par pas plus pour qu que qui sa sans se ses si son sont sur ta te tes toi ton tu un une vos votre vous y",
+    "es": "a al algo como con cuando de del desde donde dos el ella ellas ellos en entre era es esa ese eso esta este esto fue ha hasta hay la las le les lo los más me mi mis mucho muy nada ni no nos o otra otro para pero poco por porque que quien se ser si sin sobre son su sus también te tiene todo tu tus un una uno y ya yo",
+    "zh": "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 那 他 她 它 们 我们 你们 他们 这个 那个 与 及 或 但 但是 而 而且 因为 所以 如果 虽然 之 其 以 于 为 被 把 从 向 对 等 吗 呢 吧 啊",
+}
+
+
+def write_word2vec_binary(vectors: DataFrame, path: str) -> None:
+    """(word, vec) in the binary word2vec form: one file of a local or mounted folder, written row by row by the driver, which holds one partition at a time."""
+    import numpy as np
+
+    n, d = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
+    with open(path, "wb") as f:
+        f.write(f"{n} {d or 0}\n".encode())
+        for r in vectors.select("word", "vec").toLocalIterator():
+            f.write(r["word"].encode() + b" " + np.asarray(r["vec"], "<f4").tobytes() + b"\n")
+
+
+def read_word2vec_binary(spark: SparkSession, path: str) -> DataFrame:
+    """(word, vec) of binary word2vec files of up to 2 GB each, parsed on the executors."""
+
+    def parse(batches):
+        import numpy as np
+
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                head = content.index(b"\n")
+                n, d = map(int, content[:head].split())
+                at, words, rows = head + 1, [], []
+                for _ in range(n):
+                    blank = content.index(b" ", at)
+                    words.append(content[at:blank].decode("utf-8", "replace").lstrip("\n"))
+                    rows.append(np.frombuffer(content, "<f4", d, blank + 1))
+                    at = blank + 1 + 4 * d
+                    at += content[at : at + 1] == b"\n"
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([r.tolist() for r in rows], pa.list_(pa.float32()))], names=["word", "vec"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "word string, vec array<float>")
+
+
 def write_vectors(vectors: DataFrame, path: str, form: str = "glove") -> None:
     """(word, vec) as text, a word and its numbers per line; word2vec files begin with a line of counts and are written by one task."""
     line = vectors.select("word", F.concat_ws(" ", "word", F.transform("vec", lambda x: x.cast("string"))).alias("value"))
@@ -78,5 +131,5 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_table(df: DataFrame, path: str) -> None:
-    """Models are tables: no pickles."""
+    """Models are tables: no pickles. Those with a state of their own have save() and load()."""
     df.write.mode("overwrite").parquet(path)
