@@ -117,23 +117,23 @@ class Sums:
         self.row, self.col, self.val, self.texts, self.features = row, col, val.astype(float), texts, features
 
     def of(self, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
-        """(loss if clean, loss's slope if clean, slope if toxic) summed, and the slopes' sums by feature, each as a row."""
+        """(loss if clean, loss's slope if clean, slope if toxic, loss if toxic) summed, and the slopes' sums by feature, each as a row."""
         s = np.clip(np.bincount(self.row, self.val * w[self.col], self.texts) + b, -60, 60)
         up, down = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(s))  # slopes of log(1+e^s) and, but for the sign, of log(1+e^-s)
         by = [np.bincount(self.col, self.val * g[self.row], self.features) for g in (up, down)]
-        return np.array([np.logaddexp(0, s).sum(), up.sum(), down.sum()]), np.stack(by)
+        return np.array([np.logaddexp(0, s).sum(), up.sum(), down.sum(), np.logaddexp(0, -s).sum()]), np.stack(by)
 
 
 def _gradient(w: np.ndarray, b: float):
     def run(batches):
-        total, by = np.zeros(3), np.zeros((2, len(w)))
+        total, by = np.zeros(2), np.zeros((2, len(w)))
         for batch in batches:
             for texts, some, row, col, val in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 t, g = Sums(np.frombuffer(row, np.int32), np.frombuffer(col, np.int32), np.frombuffer(val, np.int8), some, len(w)).of(w, b)
                 rest = texts - some  # they score the bias
-                total += t + rest * np.array([np.logaddexp(0, b), 1 / (1 + np.exp(-b)), 1 / (1 + np.exp(b))])
+                total += t[:2] + rest * np.array([np.logaddexp(0, b), 1 / (1 + np.exp(-b))])
                 by += g
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(w))), pa.array(np.r_[total[:2], by[0]])], names=["i", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(w))), pa.array(np.r_[total, by[0]])], names=["i", "x"])
 
     return run
 
@@ -141,7 +141,8 @@ def _gradient(w: np.ndarray, b: float):
 def train(positive: list[tuple[bytes, bytes]], texts: DataFrame, prior: float, least_z: float = 4.0, least_docs: int = 4, steps: int = 60, rate: float = 0.4, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """positive: bags; texts (text): all unlabelled text. Returns the features in order, their weights and the bias; without positives or features, none and a negative bias.
 
-    Features are those whose share among the positives is least_z standard errors above that among all texts. Each step is one pass over the cells of all texts.
+    Features are those whose share among the positives is least_z standard errors above that among all texts. Each step is one pass over the cells of all texts; the state of the least corrected risk is returned, as steps
+    back from a negative risk (a prior above the true share) may overshoot.
     """
     none = np.empty(0, np.uint64), np.empty(0), -1.0
     if not positive:
@@ -163,6 +164,7 @@ def train(positive: list[tuple[bytes, bytes]], texts: DataFrame, prior: float, l
     cells = written(texts.mapInArrow(_cells(at), CELLS), "cells")
     w, b = np.zeros(len(at)), -1.0
     m, v = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
+    best = (np.inf, w, b)
     for step in range(1, steps + 1):
         g = np.zeros(len(at) + 2)
         for r in cells.mapInArrow(_gradient(w, b), "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
@@ -170,7 +172,11 @@ def train(positive: list[tuple[bytes, bytes]], texts: DataFrame, prior: float, l
         total, by = own.of(w, b)
         total, by = total / n1, by / n1
         unlabelled, toxic_as_clean = np.r_[g[2:], g[1]], np.r_[by[0], total[1]]
-        if g[0] - prior * total[0] >= 0:
+        negative = g[0] - prior * total[0]
+        risk = prior * total[3] + max(0.0, negative)
+        if risk < best[0]:
+            best = (risk, w, b)
+        if negative >= 0:
             grad = unlabelled - prior * toxic_as_clean - prior * np.r_[by[1], total[2]]
         else:  # the corrected risk went below zero: step back along that part
             grad = prior * toxic_as_clean - unlabelled
@@ -179,11 +185,12 @@ def train(positive: list[tuple[bytes, bytes]], texts: DataFrame, prior: float, l
         change = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - change[:-1], b - change[-1]
     remove(cells)
-    return at, w, float(b)
+    return at, best[1], float(best[2])
 
 
 def model(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, max_positive: int = 3000, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """max_positive bounds the labelled rows that the classifier is fitted on; unlabelled text is all of docs. prior: the toxic share; None: that of the labels, 0.1 without any of both kinds."""
+    """max_positive bounds the labelled rows that the classifier is fitted on; unlabelled text is all of docs. prior: the toxic share of the corpus; None: that of the labels, which should then be of a random sample, 0.1 without any of both kinds. A prior well above the
+    true share makes the corrected risk indifferent to calling clean text toxic."""
     if prior is None:
         share = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         prior = share if share and 0 < share < 1 else 0.1
