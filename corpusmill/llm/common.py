@@ -10,7 +10,7 @@ __all__ = ["BLANK", "BROADCAST_ROWS", "docs_of", "remove", "shared_dir", "sized"
 
 BLANK = "[ \\t\\n\\r\\f]+"
 #: A table of at most this many rows (of a few numbers each) may be broadcast; beyond it, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ from .common import remove, written
 
 SHARD_LINES, BITS_A_LINE, MAX_BITS = 1 << 18, 16, 1 << 22
 #: Documents to be changed are broadcast up to so many rows and line numbers; beyond, only their texts shuffle.
-MOST_ROWS, MOST_LINES = 1_000_000, 8_000_000
+MOST_ROWS, MOST_LINES = 250_000, 2_000_000
 
 
 def line_key(line):

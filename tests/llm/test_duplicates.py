@@ -231,6 +231,49 @@ def test_embedding_search_equals_its_sql(spark):
     assert got == want and sum(n > 0 for *_, n in got) > 200
 
 
+def test_simhash_with_clashing_columns_and_ties(docs):
+    text = " ".join(prose(random.Random(2), 80))
+    d = docs([(5, text), (3, text), (3, "quite another text of its own"), (4, text), (None, text)]).selectExpr("*", "1 AS node", "2 AS c0", "3 AS duplicate_of", "4 AS g")
+    assert sorted(map(tuple, simhash.duplicates(d).collect())) == [(4, 3), (5, 3)]
+    assert sorted((x["doc_id"] or 0, x["node"]) for x in simhash.near_dedup(d).collect()) == [(0, 1), (3, 1), (3, 1)]
+
+
+def run_pipeline(spark, folder, docs, labels):
+    import corpus_pipeline
+
+    docs.write.parquet(str(folder / "documents.parquet"))
+    labels.write.parquet(str(folder / "labels.parquet"))
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+
+
+def test_pipeline_drops_toxic_documents_repeats_and_near_copies(docs, spark, tmp_path):
+    r = random.Random(6)
+    clean = {i: " ".join(prose(r, r.randrange(60, 120))) for i in range(150)}
+    bad = {200 + i: " ".join(prose(r, 40) + ["vilefoo", "scumbar", "filthbaz"]) for i in range(40)}
+    rows = list(clean.items()) + list(bad.items()) + [(300, clean[3]), (301, clean[4] + "\n" + "a line of its own, the only one here"), (302, " ".join(clean[5].split()[:-1] + ["changed"])), (None, "no id here " + clean[6]), (303, None), (303, ""), (7, "a second text that has the id seven"), (7, "a second text that has the id seven")]
+    d = docs(rows).selectExpr("*", "'e' AS copies", "1 AS n_lines", "2 AS __score2")
+    got = run_pipeline(spark, tmp_path, d, labelled(spark, [(i, 1, 1) for i in range(200, 230)] + [(i, 1, 0) for i in range(0, 118)] + [(None, None, None), (3, 1, 0)]))
+    left = {x["doc_id"] for x in got}
+    assert not left & set(bad) and 300 not in left and 302 not in left and None in left
+    assert len(set(clean) & left) >= 148 and 7 in left and 303 not in left
+    by = {}
+    for x in got:
+        by.setdefault(x["doc_id"], []).append((x["start"], x["text"]))
+    assert " ".join(t for _, t in sorted(by[301])[:20]) == "a line of its own, the only one here" or 301 not in by
+
+
+def test_pipeline_on_empty_and_clean_tables(docs, spark, tmp_path):
+    none = labelled(spark, [])
+    for name, d in (("empty", docs([])), ("nulls", docs([(None, None), (None, None), (1, None)])), ("clean", docs([(1, "one clean text"), (2, "and another quite different one")]))):
+        (tmp_path / name).mkdir()
+        got = run_pipeline(spark, tmp_path / name, d, none)
+        assert {x["doc_id"] for x in got} == ({1, 2} if name == "clean" else set())
+
+
 def test_pipeline_stages(docs, spark, tmp_path):
     import corpus_pipeline
 

@@ -395,3 +395,21 @@ def test_best_spans_are_those_of_all_against_all():
             if all(x[1] >= k[1] + k[2] or k[1] >= x[1] + x[2] for k in kept):
                 kept.append(x)
         assert license_scan.best_spans(found) == sorted(kept, key=lambda x: (x[1], x[0]))
+
+
+def test_html_ties_go_to_the_first_and_repeats_repeat(spark):
+    one = "<div><p>Some words of prose, of a length that counts, stand here.</p></div>"
+    page = one + one.replace("Some", "More")
+    top, score, scored = html_extract.best(html_extract.parse(page)[0])
+    assert top is scored[0] and [x.points for x in scored] == [score, score]
+    p = spark.createDataFrame([(None, None, page, "t", 1.0), (None, None, page, "t", 1.0)], "page_id bigint, url string, html string, title string, score double")
+    got = html_extract.html_extract(p).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["text"].startswith("Some") and "More" not in got[0]["text"]
+
+
+def test_language_ties_and_repeated_rows(docs):
+    fitted = {"families": ["f"], "of": {"f": ["a", "b", "c"]}, "weights": [("pair", "a", "b", 0), ("pair", "a", "c", 0), ("pair", "b", "c", 0)]}
+    family, language, margin = language_id.decide(np.array([[0.0, 0.0, 0.0], [1.0, -1.0, 1.0]]), fitted)
+    assert list(language) == ["a", "a"] and list(family) == ["f", "f"] and list(margin) == [0.0, 1.0]
+    got = language_id.language_id(docs([(1, "the end", "en"), (1, "the end", "en"), (2, "das ende", "de")])).collect()
+    assert len(got) == 3 and [tuple(x) for x in got if x["doc_id"] == 1][0] == [tuple(x) for x in got if x["doc_id"] == 1][1]

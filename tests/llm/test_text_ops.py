@@ -176,3 +176,18 @@ def test_words_of_long_texts_are_read_in_pieces(monkeypatch):
     for size in (64, 17):
         for d in range(len(texts)):
             assert got.get((size, d)) == got.get((1 << 20, d))
+
+
+def test_mixing_and_packing_with_clashing_columns_repeats_and_ties(docs, spark):
+    names = ["'x' AS copies", "'y' AS n_tokens", "'z' AS start", "'l' AS length", "'b' AS bucket", "'q' AS quality"]
+    rows = [(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (2, "d e f", "en", "s"), (None, "g h i", "en", "s"), (None, "g h i", "en", "s"), (3, None, "en", None)]
+    lab = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").selectExpr("*", "'c' AS source")
+    d = docs(rows).selectExpr("*", *names)
+    plain = [(i, t, s) for i, t, _, s in rows]
+    for budget in (None, 9, 30):
+        got = sorted(map(tuple, mixing.mix(d, lab, budget_tokens=budget).collect()), key=str)
+        assert got == brute_mix(plain, [(1, 1)], None, 0.7, budget)
+    assert sorted(mixing.mixed(d, lab).columns) == sorted(d.columns)
+    pieces = sorted((x["doc_id"] or 0, x["start"], x["length"], x["text"]) for x in packing.pack(d).collect())
+    one = lambda i, w: [(i, 0, 2, " ".join(w[:2])), (i, 2, 1, w[2])]
+    assert pieces == sorted(one(1, ["a", "b", "c"]) * 2 + one(2, ["d", "e", "f"]) + one(0, ["g", "h", "i"]) * 2)
