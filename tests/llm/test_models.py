@@ -413,3 +413,22 @@ def test_language_ties_and_repeated_rows(docs):
     assert list(language) == ["a", "a"] and list(family) == ["f", "f"] and list(margin) == [0.0, 1.0]
     got = language_id.language_id(docs([(1, "the end", "en"), (1, "the end", "en"), (2, "das ende", "de")])).collect()
     assert len(got) == 3 and [tuple(x) for x in got if x["doc_id"] == 1][0] == [tuple(x) for x in got if x["doc_id"] == 1][1]
+
+
+def test_toxicity_gradients_are_the_same_in_one_or_two_steps_and_by_differences(docs):
+    from corpusmill.llm.common import written
+
+    from pyspark.sql import functions as F
+
+    texts = docs([(i, t) for i, t in enumerate(["a b c", "b c", "zzz", "a a long", "", "c long"] * 5)]).select(F.lower("text").alias("text")).repartition(4)
+    names = np.sort(np.array([plain_hash(w.encode()) for w in ("a", "b", "long")], np.uint64))
+    cells = written(texts.mapInArrow(toxicity._cells(names), toxicity.CELLS), "cells")
+    w, b = np.array([0.3, -0.2, 0.5]), -0.4
+    one, two = (toxicity.gradient_of(cells, 4, w, b, most=m) for m in (256, 1))
+    assert np.allclose(one, two)
+    loss = lambda w, b: toxicity.gradient_of(cells, 4, w, b)[0]
+    step = 1e-5
+    assert one[1] == pytest.approx((loss(w, b + step) - loss(w, b - step)) / (2 * step), abs=1e-4)
+    for k in range(3):
+        e = np.eye(3)[k] * step
+        assert one[2 + k] == pytest.approx((loss(w + e, b) - loss(w - e, b)) / (2 * step), abs=1e-4)
