@@ -192,6 +192,49 @@ def test_spotsigs_odd_rows(docs, spark):
     assert [tuple(x) for x in spotsigs.spotsigs(docs([(1, "the lone wolf"), (2, None)])).orderBy("doc_id").collect()] == [(1, 1, 0), (2, 2, 0)]
 
 
+def crowds(seed=5):
+    """Near copies of two texts and the texts of copies(), some ids and texts twice."""
+    r, rows = random.Random(seed), copies(seed, 15)
+    for size in (60, 150):
+        base = prose(r, size)
+        for k in range(45):
+            x = list(base)
+            for _ in range(r.choice([1, 2, 4, 8])):
+                x[r.randrange(len(x))] = r.choice(["changed", "other", f"own{r.randrange(300)}"])
+            rows.append((len(rows), " ".join(x[: len(x) - r.randrange(12)])))
+    return rows + rows[-3:] + [(None, rows[-1][1])]
+
+
+def test_spotsigs_of_many_near_copies_equals_all_pairs(docs, monkeypatch):
+    rows = crowds()
+    sets = [(i, plain_signatures(t)) for i, t in rows]
+    linked = lambda a, b: bool(a and b) and isinstance(a, set) and isinstance(b, set) and len(a & b) / len(a | b) >= 0.6 - 1e-12
+    want = classes(sets, linked)
+    tables = {}
+    keep = spotsigs.written
+    monkeypatch.setattr(spotsigs, "written", lambda df, what: tables.setdefault(what, keep(df, what)))
+    for hot, cell, meetings in ((10, 3000, 50), (10, 1 << 18, 1 << 20), (1000, 1 << 18, 7)):
+        tables.clear()
+        for name, value in (("HOT", hot), ("CELL_COST", cell), ("MEETINGS", meetings)):
+            monkeypatch.setattr(spotsigs, name, value)
+        got = sorted(map(tuple, spotsigs.spotsigs(docs(rows)).collect()), key=str)
+        assert got == want and sum(n for _, _, n in got) > 1500
+        assert ("blocks" in tables) == (hot == 10)
+        assert tables["pairs"].count() < 300 or hot > 10  # pairs of near copies of one text aren't written
+
+
+def test_spotsigs_expands_a_bounded_number_of_pairs():
+    import pandas as pd
+
+    n = 600
+    entries = pd.DataFrame({"sig": [7] * n + [9] * 40, "size": [50] * (n + 40), "node": [*range(n), *range(40)]})
+    parts = list(spotsigs._meet(0.6, 100, 200)(iter([entries])))
+    assert max(map(len, parts)) <= n
+    out = pd.concat(parts)
+    assert sorted(out[out["hot"]]["b"]) == list(range(n)) and set(out[out["hot"]]["a"]) == {0}
+    assert sorted(zip(out[~out["hot"]]["a"], out[~out["hot"]]["b"])) == list(itertools.combinations(range(40), 2))
+
+
 def vectors_with_partners():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 32))
