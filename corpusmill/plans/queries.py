@@ -247,7 +247,7 @@ def q_cooc(s, d, method="window"):
 
 
 def q_ppmi(s, d):
-    return rounded(cooc.to_ppmi(q_cooc(s, d), 0.75), 4)
+    return rounded(cooc.window_ppmi(docs(s, d), (2, 3), 0.75), 4)
 
 
 PPMI_SQL = COOC_SQL + """, r AS (SELECT row_word, sum(value) AS r FROM m GROUP BY 1), c AS (SELECT col_word, pow(sum(value), 0.75) AS c FROM m GROUP BY 1),
