@@ -256,7 +256,7 @@ SELECT row_word, col_word, round(value, 4) AS value FROM p WHERE value > 0"""
 
 
 def q_cooc_sums(s, d):
-    return cooc.all_sums(q_cooc(s, d))
+    return cooc.window_sums_and_cells(docs(s, d), (2, 3))
 
 
 COOC_SUMS_SQL = COOC_SQL + " SELECT row_word, col_word, CAST(sum(value) AS BIGINT) AS value, count(*) AS nnz FROM m GROUP BY GROUPING SETS ((row_word), (col_word), ())"
