@@ -138,3 +138,36 @@ def test_encodings_and_stopwords(spark, tmp_path):
     assert {r["word"] for r in texts.read_stopwords(spark, paths).collect()} == {"的", "了", "也"}
     with pytest.raises(ValueError):
         texts.stopwords_of(str(tmp_path / "s"), "xx")
+
+
+def test_steps_are_added_by_row(spark):
+    """By a row's first steps, then its second ones, and so on: as one by one, and in a fraction of the time."""
+    import time
+
+    rng = np.random.default_rng(0)
+    at, rows, scale = rng.zipf(1.3, (2000, 6)) % 50_000, rng.random((2000, 100)).astype(np.float32), rng.random((2000, 6)).astype(np.float32)
+    want = np.zeros((50_000, 100))
+    steps = scale[:, :, None] * rows[:, None, :]
+    began = time.perf_counter()
+    np.add.at(want, at.reshape(-1), steps.reshape(-1, 100))
+    slow, best = time.perf_counter() - began, np.inf
+    for _ in range(5):
+        began = time.perf_counter()
+        place, total, times = embeddings.by_row(at, rows, scale)
+        best = min(best, time.perf_counter() - began)
+    assert len(set(place)) == len(place) and times.sum() == at.size and (times == np.bincount(at.reshape(-1))[place]).all()
+    got = np.zeros_like(want)
+    got[place] = total
+    assert np.allclose(got, want, rtol=1e-4) and best < slow / 2
+    one = embeddings.by_row(np.array([3]), np.ones((1, 2)))
+    assert one[0].tolist() == [3] and one[1].tolist() == [[1, 1]] and one[2].tolist() == [1]
+
+
+def test_glove_pairs_are_those_of_the_kept_words(spark, monkeypatch):
+    """Distances close over rare words; each pair is trained on in both orders."""
+    d = spark.createDataFrame([(["a", "rare", "b", "a"],), (["b", "a"],), (["c", "c"],)], "tokens array<string>")
+    seen, own = {}, embeddings.written
+    monkeypatch.setattr(embeddings, "written", lambda df, what: (out := own(df, what), seen.update({what: out.collect()}))[0])
+    m = embeddings.GloVe(size=2, window=2, min_count=2, epochs=1).train(d)
+    assert m.words == ["a", "b", "c"]
+    assert {(m.words[r["i"]], m.words[r["j"]]): r["x"] for r in seen["pairs"]} == {("a", "b"): 3.0, ("b", "a"): 3.0, ("a", "a"): 1.0, ("c", "c"): 2.0}
