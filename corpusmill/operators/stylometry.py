@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.tokens import ngrams
 from ..functions.vectors import DISTANCES, distance_to_similarity
 from ..plans.shared import written
+from .pairs import pieces
 from .vectors import BLOCKS, _blocks, distances, rows_of
 
 METRICS = tuple(sorted(DISTANCES))
@@ -26,16 +27,15 @@ def feature_counts(docs: DataFrame, keys: list[str], ngram_range: tuple[int, int
 
 def _counted(names: list[str], n_keys: int):
     def run(batches):
-        """Keys, the count of each feature in each row's list, and the list's length."""
+        """Keys, the count of each feature in each row's list, and the lists' lengths as they come. Lists hold features only, a bounded number of which is looked at at once."""
         known = pa.array(names, pa.string())
-        for b in batches:
-            lists = b.column(n_keys)
-            size = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
-            at = pa.compute.index_in(lists.flatten(), known).to_numpy(zero_copy_only=False).astype(float) if len(b) else np.empty(0)
-            cell = np.repeat(np.arange(len(size)), size) * len(names) + np.nan_to_num(at, nan=0).astype(np.int64)
-            n = np.bincount(cell[~np.isnan(at)], minlength=len(size) * len(names)).astype(np.int64)
-            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * len(names)), pa.array(n))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n_keys], counts, pa.array(size)], names=[*b.schema.names[:n_keys], "counts", "total"])
+        for batch in batches:
+            for b, size in pieces(batch, n_keys):
+                at = pa.compute.index_in(b.column(n_keys).flatten(), known)
+                cell = np.repeat(np.arange(len(size)) * len(names), size)[at.is_valid().to_numpy(zero_copy_only=False)] + at.drop_null().to_numpy(zero_copy_only=False)
+                n = np.bincount(cell, minlength=len(size) * len(names)).astype(np.int64)
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * len(names)), pa.array(n))
+                yield pa.RecordBatch.from_arrays([*b.columns[:n_keys], counts, b.column(n_keys + 1)], names=[*b.schema.names[:n_keys], "counts", "total"])
 
     return run
 
@@ -66,7 +66,11 @@ class Stylometry:
         """(keys..., rel): shares of the features in each document's n-grams. Counts are made in the documents' rows; rows of one document are added up."""
         kinds = dict(docs.dtypes)
         schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", counts array<bigint>, total bigint"
-        rows = docs.select(*keys, ngrams(F.col("tokens"), *self.ngram_range).alias("grams")).mapInArrow(_counted(names, len(keys)), schema)
+        grams = docs.select(*keys, ngrams(F.col("tokens"), *self.ngram_range).alias("grams"))
+        # other n-grams don't leave the JVM; a null can be a feature
+        known = [x for x in names if x is not None]
+        held = grams.select(*keys, F.filter("grams", lambda g: g.isNull() | g.isin(known) if len(known) < len(names) else g.isin(known)).alias("grams"), F.size("grams").cast("long").alias("total"))
+        rows = held.mapInArrow(_counted(names, len(keys)), schema)
         zero = F.array_repeat(F.lit(0).cast("long"), len(names))
         whole = rows.groupBy(*keys).agg(F.aggregate(F.collect_list("counts"), zero, lambda s, c: F.zip_with(s, c, lambda x, y: x + y)).alias("counts"), F.sum("total").alias("total"))
         return whole.select(*keys, F.transform("counts", lambda n: n / F.nullif(F.col("total"), F.lit(0))).alias("rel"))
