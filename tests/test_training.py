@@ -171,3 +171,41 @@ def test_glove_pairs_are_those_of_the_kept_words(spark, monkeypatch):
     m = embeddings.GloVe(size=2, window=2, min_count=2, epochs=1).train(d)
     assert m.words == ["a", "b", "c"]
     assert {(m.words[r["i"]], m.words[r["j"]]): r["x"] for r in seen["pairs"]} == {("a", "b"): 3.0, ("b", "a"): 3.0, ("a", "a"): 1.0, ("c", "c"): 2.0}
+
+
+def test_documents_swept_side_by_side_keep_their_counts(monkeypatch):
+    """Counts that a part tells are those of its topics; a document alone draws as one token after the other."""
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    words = [rng.integers(0, 30, n).astype(np.int32) for n in rng.integers(1, 60, 200)]
+    z = [rng.integers(0, 3, len(w)).astype(np.int32) for w in words]
+    tally = lambda z: np.bincount(np.concatenate(words) * 3 + np.concatenate(z), minlength=90).reshape(30, 3).astype(float)
+    n_wt, alpha = tally(z), np.array([0.5, 1.0, 2.0])
+
+    def swept(share):
+        monkeypatch.setattr(topics, "SHARE", share)
+        out = list(topics._sweep(n_wt, alpha, 0.1, 5, False)([pd.DataFrame({"doc_id": range(200), "words": words, "z": z})]))
+        heard = n_wt.copy()
+        n, logs = topics._heard([(out[1]["sums"][0],)], heard)
+        new = list(out[0]["z"])
+        assert (heard == tally(new)).all() and n == 200 and [len(x) for x in new] == [len(w) for w in words]
+        theta = np.stack([(np.bincount(x, minlength=3) + alpha) / (len(x) + alpha.sum()) for x in new])
+        assert logs == pytest.approx(np.log(theta).sum(0))
+        return new
+
+    counts, totals = n_wt.copy(), n_wt.sum(0)
+    want = {}
+    for d in np.argsort([-len(w) for w in words], kind="stable"):
+        draws, mine, n = np.random.default_rng([5, hash(int(d))]).random(len(words[d])), z[d].copy(), np.bincount(z[d], minlength=3).astype(float)
+        for i, w in enumerate(words[d]):
+            for step, t in ((-1, mine[i]), (1, None)):
+                if t is None:
+                    p = np.cumsum((counts[w] + 0.1) / (totals + 3.0) * (n + alpha))
+                    t = mine[i] = int(np.searchsorted(p, draws[i] * p[-1], side="right"))
+                counts[w, t], totals[t], n[t] = counts[w, t] + step, totals[t] + step, n[t] + step
+        want[d] = mine
+    alone = swept(1000)
+    assert all((alone[d] == want[d]).all() for d in want)
+    swept(4)
+    swept(1)
