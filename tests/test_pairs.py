@@ -98,3 +98,16 @@ def test_pairs_travel_once_and_in_few_bytes(spark):
     assert sent[0] < 4 * 100_000
     plan = embeddings.glove_cooc(docs, 5)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "HashAggregate" not in plan and plan.count("Exchange") == 1
+
+
+def test_document_matrix_equals_loops_and_sends_no_rows_of_pairs(spark, small):
+    docs, texts = corpus(spark)
+    want = Counter()
+    for t in texts:
+        n = Counter(w for w in t if w is not None)
+        want.update({(a, b): n[a] * n[b] for a in n for b in n if a != b})
+    out = cooc.cooc_matrix(docs, method="document")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert as_dict(out) == want
+    assert "Generate" not in plan and "collect_list" not in plan and plan.count("Exchange") == 1
+    assert cooc.cooc_matrix(docs.where("doc_id < 0"), method="document").count() == 0
