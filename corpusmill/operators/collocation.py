@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import check_options, correct, expected, fisher_udf, safe_ratio
 from ..functions.tokens import truncated
 from ..plans.order import running_sum
+from ..plans.shared import written
+from .pairs import pieces
 
 FILTERS = {"stopwords", "min_word_length", "max_p", "max_adjusted_p"} | {f"{m}_{c}" for m in ("min", "max") for c in ("obs_local", "obs_global", "exp_local", "ratio_local")}
 BOTH = {"stopwords", "min_word_length", "max_p"}
@@ -28,11 +33,33 @@ def _targets(targets: str | Iterable[str]) -> list[str]:
     return out
 
 
-def seen_positions(tokens: Column, target: Column, left: int, right: int) -> Column:
-    """Places (from 0) that see the target: up to left before an occurrence, up to right after it, each once, without those of the target itself."""
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.get(tokens, i) == target)
-    near = F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - left, F.lit(0)), F.least(p + right, F.size(tokens) - 1))))
-    return F.filter(F.array_distinct(near), lambda i: F.get(tokens, i) != target)
+def window_hits(corpus: DataFrame, names: list[str], left: int, right: int) -> DataFrame:
+    """(target, w, n): the places of each word that see the target; with a null target all places of the word."""
+
+    def run(batches):
+        for batch in batches:
+            for b, size in pieces(batch):
+                d = b.column(0).flatten().dictionary_encode()
+                words, k = d.dictionary, len(d.dictionary)
+                at = d.indices.fill_null(k).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(size)), size)
+                place = pa.compute.index_in(pa.array(names, pa.string()), words).to_pylist()
+                for name, own in [(None, None), *((t, p) for t, p in zip(names, place) if p is not None)]:
+                    if name is None:
+                        n = np.bincount(at, minlength=k + 1)
+                    else:
+                        it, seen = at == own, np.zeros(len(at), bool)
+                        for j in range(1, min(max(left, right), len(at) - 1) + 1):
+                            same = row[j:] == row[:-j]
+                            if j <= left:
+                                seen[:-j] |= it[j:] & same
+                            if j <= right:
+                                seen[j:] |= it[:-j] & same
+                        n = np.bincount(at[seen & ~it & (at < k)], minlength=k + 1)
+                    have = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(have), pa.string()), words.take(pa.array(have, mask=have == k)), pa.array(n[have])], names=["target", "w", "n"])
+
+    return corpus.mapInArrow(run, "target string, w string, n bigint").groupBy("target", "w").agg(F.sum("n").alias("n"))
 
 
 def contingency(docs: DataFrame, targets: str | Iterable[str], method: str = "window", horizon: int | tuple[int, int] = 5, max_length: int | None = 256) -> DataFrame:
@@ -45,16 +72,17 @@ def contingency(docs: DataFrame, targets: str | Iterable[str], method: str = "wi
     each = F.explode(F.array(*map(F.lit, names))).alias("target")
     held = corpus.where(F.arrays_overlap("tokens", F.array(*map(F.lit, names)))).select("tokens", each).where(F.array_contains("tokens", F.col("target")))
     if method == "window":
-        left, right = sides(horizon)
-        places = seen_positions(F.col("tokens"), F.col("target"), left, right)
-        hits = held.select("target", F.explode(F.transform(places, lambda i: F.get("tokens", i))).alias("collocate"))
-        counts = corpus.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+        # one pass over the texts, whose sums are read more than once
+        found = written(window_hits(corpus, names, *sides(horizon)), "hits")
+        hits, counts = found.where("target IS NOT NULL"), found.where("target IS NULL").select("w", "n")
+        pairs = hits.select("target", F.col("w").alias("collocate"), F.col("n").alias("a"))
     elif method == "sentence":
         hits = held.select("target", F.explode(F.array_distinct("tokens")).alias("collocate")).where("target <> collocate")
         counts = corpus.select(F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     else:
         raise ValueError(f"unknown method {method!r}")
-    pairs = hits.groupBy("target", "collocate").agg(F.count("*").alias("a"))
+    if method == "sentence":
+        pairs = hits.groupBy("target", "collocate").agg(F.count("*").alias("a"))
     # the totals of a few targets: tables of as many rows as there are targets
     t = counts.where(F.col("w").isin(names)).select(F.col("w").alias("target"), F.col("n").alias("n_target"))
     if method == "window":

@@ -111,3 +111,23 @@ def test_document_matrix_equals_loops_and_sends_no_rows_of_pairs(spark, small):
     assert as_dict(out) == want
     assert "Generate" not in plan and "collect_list" not in plan and plan.count("Exchange") == 1
     assert cooc.cooc_matrix(docs.where("doc_id < 0"), method="document").count() == 0
+
+
+def test_texts_are_read_once_for_collocates(spark, small, monkeypatch):
+    """They were tokenized for each of the counts that tables of collocates are made of."""
+    from corpusmill.operators import collocation
+
+    docs, texts = corpus(spark)
+    passes, own = [], collocation.window_hits
+    monkeypatch.setattr(collocation, "window_hits", lambda *a: passes.append(a[1:]) or own(*a))
+    out = collocation.contingency(docs, ["a", "b", "none"], "window", (1, 4), None)
+    assert passes == [(["a", "b", "none"], 1, 4)] and "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["target"], r["collocate"]): (r["a"], r["b"], r["c"], r["d"]) for r in out.collect()}
+    n, a, total = Counter(w for t in texts for w in t), Counter(), sum(map(len, texts))
+    for t in texts:
+        for i, w in enumerate(t):
+            a.update((x, w) for x in ("a", "b") if w not in (x, None) and x in t[max(0, i - 4) : i + 2])
+    seen = Counter()
+    for (x, _), k in a.items():
+        seen[x] += k
+    assert got == {(x, w): (k, seen[x] - k, n[w] - k, total - n[x] - seen[x] - n[w] + k) for (x, w), k in a.items()}
